@@ -5,7 +5,7 @@ first piece taking what is left over. Pieces are dealt to partitions, which
 pack them best fit decreasing. A dual-feasible function f maps fractions of a
 sequence to fractions so that any set that fits sums to at most 1; the largest
 sum of f over the pieces is a lower bound of the bins. A partition whose bins
-meet its bound is certified and closed. One with a gap closes its full bins and
+meet its bound is certified and closed but for its emptiest one. One with a gap closes its full bins and
 passes the pieces of the others on; gaps of several partitions are merged, and
 best fit decreasing runs again, until one partition is left.
 
@@ -111,10 +111,12 @@ def _packer(capacity: int, last: bool, base: int) -> Callable[[pa.Table], pa.Tab
     def run(group: pa.Table) -> pa.Table:
         lengths = group["length"].to_numpy().astype(np.int64)
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
-        if not last and len(free) > lower_bound(lengths, capacity):
-            passed = free[bins] > 0
-        else:
+        if last:
             passed = np.zeros(len(bins), bool)
+        elif len(free) > lower_bound(lengths, capacity):
+            passed = free[bins] > 0
+        else:  # certified, but for what rounding up leaves in the emptiest bin
+            passed = (bins == free.argmax()) & (free.max() > 0)
         ids = np.where(passed, -1, base + (group["group"][0].as_py() << 28) + bins)
         for name, values in (("sequence_id", ids), ("offset", offsets)):
             group = group.set_column(group.schema.get_field_index(name), name, pa.array(values, pa.int64()))

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterial.llm import decontaminate, exact_dedup, language, packing, pii, quality, substring, wavelet
+import corpus_pipeline
+from arterial.llm import decontaminate, exact_dedup, jaccard, language, packing, pii, quality, substring, wavelet
 from arterial.llm.common import table
 
 
@@ -19,6 +20,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, net).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"), jaccard.Rule(n=3, num=90, den=100))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.kept_digest(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_substring_dedup, op4_pii, op6_exact_dedup, op7_wavelet_tokens, op8_decontamination, op9_best_fit_packing, op10_language_id)}
+    out = {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_substring_dedup, op4_pii, op6_exact_dedup, op7_wavelet_tokens, op8_decontamination, op9_best_fit_packing, op10_language_id)}
+    return out | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -67,7 +67,7 @@ LOG = "log AS (SELECT u AS run_id, v AS iter, 1.0::DOUBLE / (1 + v + u) AS gap,
 
 
 def oracle_sql() -> dict[str, str]:
-    by_link = lambda value, name: with_(ARCS, LOADED) + f"SELECT arc_id, round({value}, 6) AS {name} FROM flow"
+    by_link = lambda value, name: with_(ARCS, LOADED) + f"SELECT arc_id, round({value}, 9) AS {name} FROM flow"
     return {
         "arc_scan": NET + "SELECT arc_id, u, v, round(capacity, 6) AS capacity, t0 FROM arcs",
         "od_scan": NET + "SELECT o, d, demand FROM od",

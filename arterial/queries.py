@@ -80,7 +80,7 @@ def od_nested(spark, sf):
 
 def _by_link(value: Callable[..., Column], name: str):
     def query(spark, sf):
-        return loaded(spark, sf).select("arc_id", _r(value(F.col("t0"), F.col("x"), F.col("capacity"))).alias(name))
+        return loaded(spark, sf).select("arc_id", _r(value(F.col("t0"), F.col("x"), F.col("capacity")), 9).alias(name))
 
     return query
 

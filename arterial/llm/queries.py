@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arterial.llm import decontaminate, exact_dedup, jaccard, language, packing, pii, quality, substring, wavelet
+from arterial.llm import decontaminate, exact_dedup, jaccard, language, license, packing, pii, quality, substring, wavelet
 from arterial.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"), pii.learn())
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -58,12 +62,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_substring_dedup, op4_pii, op6_exact_dedup, op7_wavelet_tokens, op8_decontamination, op9_best_fit_packing, op10_language_id)}
+    out = {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_substring_dedup, op4_pii, op5_license_scan, op6_exact_dedup, op7_wavelet_tokens, op8_decontamination, op9_best_fit_packing, op10_language_id)}
     return out | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op5_license_scan": op5_sql(), "op6_exact_dedup": OP6_SQL}
 
 
 OP6_SQL = """
@@ -75,3 +79,32 @@ SELECT doc_id,
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+def op5_sql() -> str:
+    templates = ", ".join(f"('{name}', '{text}')" for name, text in license.TEMPLATES.items())
+    return f"""
+WITH template(license, text) AS (VALUES {templates}),
+tword AS MATERIALIZED (SELECT license, w, count(*) AS tf FROM (SELECT license, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM template) WHERE w <> '' GROUP BY license, w),
+vocabulary AS MATERIALIZED (SELECT DISTINCT w FROM tword),
+row AS MATERIALIZED (SELECT row_number() OVER () AS r, page_id, url, html FROM pages),
+cut AS MATERIALIZED (SELECT r, row_number() OVER () AS s, segment FROM (SELECT r, unnest(regexp_split_to_array(coalesce(html, ''), '<[^>]*>|\\n')) AS segment FROM row)),
+words AS MATERIALIZED (SELECT r, s, w, count(*) AS tf FROM (SELECT r, s, unnest(regexp_split_to_array(lower(segment), '[^a-z0-9]+')) AS w FROM cut) WHERE w <> '' GROUP BY r, s, w),
+total AS MATERIALIZED (SELECT count(DISTINCT s) AS n FROM words),
+idf AS MATERIALIZED (SELECT v.w, 1 + ln((1 + n) / (1 + count(words.w))) AS idf FROM vocabulary v CROSS JOIN total LEFT JOIN words ON words.w = v.w GROUP BY v.w, n),
+norm AS MATERIALIZED (SELECT r, s, sqrt(sum(CASE WHEN idf.w IS NULL THEN tf * pow(1 + ln(1 + n), 2) ELSE pow(tf * idf, 2) END)) AS norm
+  FROM words CROSS JOIN total LEFT JOIN idf ON idf.w = words.w GROUP BY r, s),
+length AS (SELECT license, sqrt(sum(pow(tf * idf, 2))) AS length FROM tword JOIN idf USING (w) GROUP BY license),
+dot AS (SELECT words.r, words.s, t.license, sum(words.tf * t.tf * idf * idf) AS dot FROM words JOIN tword t ON t.w = words.w JOIN idf ON idf.w = words.w GROUP BY words.r, words.s, t.license),
+scored AS (SELECT dot.r, dot.license, round(dot / length / norm, 6) AS score FROM dot JOIN norm ON norm.s = dot.s AND norm.r = dot.r JOIN length USING (license)),
+top AS (SELECT r, license, score FROM scored WHERE score >= {license.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, license) = 1),
+file AS MATERIALIZED (SELECT row.r, page_id, license, score,
+    regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', ''), '/+$', '') AS path FROM row LEFT JOIN top USING (r)),
+vote AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, license, count(*) AS n,
+    bool_or(regexp_matches(lower(regexp_extract(path, '[^/]*$')), '^(licen[cs]e|copying|notice)(\\.|$)')) AS named
+  FROM file WHERE license IS NOT NULL AND path LIKE '%/%' GROUP BY 1, 2),
+dirs AS MATERIALIZED (SELECT dir, license FROM vote QUALIFY row_number() OVER (PARTITION BY dir ORDER BY named DESC, n DESC, license) = 1),
+near AS (SELECT f.r, d.dir, d.license FROM file f JOIN dirs d ON f.path LIKE '%/%' AND starts_with(f.path, d.dir || '/')
+  WHERE f.license IS NULL QUALIFY row_number() OVER (PARTITION BY f.r ORDER BY length(d.dir) DESC) = 1)
+SELECT page_id, path, file.license, score, near.license AS inherited, near.dir AS inherited_from FROM file LEFT JOIN near USING (r)
+"""

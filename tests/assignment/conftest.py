@@ -1,21 +1,26 @@
-import random
-
 import pytest
 
-#: A 5 x 5 grid with two-way links; fixed values: free-flow times of the links
-#: to the right and down of each node, and of two kinds of capacity.
+#: The 5 x 5 grid on which equilibria are known. Free-flow times
+#: of its two-way links, by their smaller and then their larger node; and the
+#: links of capacity 200, all others having 300.
 SIDE = 5
+TIMES = """
+3.72 3.72 5.4 4.02 3.3 1.37 4.98 3.09 4.59 4.17 4.32 4.02 4.11 5.55 1.41 4.53 4.11 3.42 1.23 4.35
+1.85 5.49 1.89 2.15 1.03 5.46 6.09 3.09 5.58 4.5 4.02 5.94 1.79 2.97 5.85 4.05 5.76 4.44 5.1 3
+"""
+NARROW = {(3, 8), (8, 13), (11, 12), (12, 13), (13, 14), (13, 18), (14, 15), (18, 23)}
+#: Capacities are equal both ways but for this link.
+WIDE = {(15, 14)}
 
 
-def grid(seed=3):
-    rng = random.Random(seed)
-    rows = []
+def grid():
+    rows, times = [], iter(map(float, TIMES.split()))
     for n in range(1, SIDE * SIDE + 1):
         for m in (n + 1 if n % SIDE else None, n + SIDE if n + SIDE <= SIDE * SIDE else None):
             if m:
-                t = round(rng.uniform(1, 6), 2)
-                c = rng.choice([200.0, 300.0])
-                rows += [(n, m, c, t), (m, n, c, t)]
+                t = next(times)
+                for a, b in ((n, m), (m, n)):
+                    rows.append((a, b, 200.0 if (n, m) in NARROW and (a, b) not in WIDE else 300.0, t))
     return [("0", i, *r) for i, r in enumerate(sorted(rows))]
 
 
@@ -23,6 +28,11 @@ LINKS = "scenario_id string, arc_id int, u int, v int, capacity double, t0 doubl
 PAIRS = "scenario_id string, o int, d int, demand double"
 
 
+def pairs(demand):
+    ends = (7, 9, 17, 19)
+    return [("0", o, d, demand) for o in ends for d in ends if o != d]
+
+
 @pytest.fixture(scope="session")
 def arcs(spark):
     return spark.createDataFrame(grid(), LINKS)
@@ -30,5 +40,4 @@ def arcs(spark):
 
 @pytest.fixture(scope="session")
 def od(spark):
-    ends = (7, 9, 17, 19)
-    return spark.createDataFrame([("0", o, d, 500.0) for o in ends for d in ends if o != d], PAIRS)
+    return spark.createDataFrame(pairs(500.0), PAIRS)

@@ -19,6 +19,7 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     """
 
     def hung(pairs: DataFrame, least: DataFrame, onto: list) -> DataFrame:
+        # least is written: a join with an aggregate in its own stage is not split
         return pairs.join(least, "a").select(*onto).filter("a != b").distinct()
 
     def only_stars(pairs: DataFrame) -> bool:
@@ -30,14 +31,15 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     while not only_stars(current):
         # every node's neighbours larger than it hang on the least of it and them
         both = current.select("a", "b").unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), label)
         large = materialize(hung(both.filter("b > a"), least, [F.col("b").alias("a"), F.col("m").alias("b")]), label)
         # every node and its smaller neighbours hang on the least of those
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        discard(least)
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), label)
         small = hung(large, least, [F.col("b").alias("a"), F.col("m").alias("b")]).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         small = materialize(small, label)
-        discard(current)
-        discard(large)
+        for done in (current, large, least):
+            discard(done)
         current = small
     stars = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -172,7 +172,6 @@ def _routed(docs: DataFrame, rule: Rule, frequent: np.ndarray, parts: int) -> Da
     hang on that one: such edges are rows of part -1."""
     bits = np.packbits(frequent).tobytes()
     starts = rule.class_starts(1 << 34)
-    limit = len(starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
@@ -205,7 +204,7 @@ def _routed(docs: DataFrame, rule: Rule, frequent: np.ndarray, parts: int) -> Da
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 if len(s):
-                    own = routing_keys(s, rule, starts[:limit], ~common[(s % np.uint64(BINS)).astype(np.int64)])
+                    own = routing_keys(s, rule, starts, ~common[(s % np.uint64(BINS)).astype(np.int64)])
                     keys.append(own)
                     owners.append(np.full(len(own), NO_ID if doc_id is None else doc_id, np.int64))
                     held += len(own)
@@ -413,7 +412,8 @@ def link_components(docs: DataFrame, rule: Rule = Rule(), cluster: int = CLUSTER
     clusters = materialize(connected_components(edges, "candidates"), "clusters")
     known = materialize(routed.filter("part is null").select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "n", "digest"), "sets")
     discard(routed)
-    sets = known.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    # written, so that the join with the documents of a much copied set can be split
+    sets = materialize(known.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "distinct-sets")
     members = materialize(sets.select(F.col("rep").alias("node"), "n").join(clusters, "node"), "members")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     # members and their tasks: a cluster is one, or a pair of its blocks is
@@ -435,7 +435,8 @@ def link_components(docs: DataFrame, rule: Rule = Rule(), cluster: int = CLUSTER
     large = chosen.filter(F.col("m") > cluster).select("node", there.alias("t")).select("node", "t.task", "t.left", "t.right")
     tasks = small.unionByName(large)
     texts = docs.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "text")
-    rows = texts.join(tasks.withColumnRenamed("node", "doc_id"), "doc_id")
+    # members grow with the documents: no size at which they would be broadcast
+    rows = texts.join(tasks.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
     dealt = rows.repartition("task").sortWithinPartitions("task")
     links = materialize(_cluster_links(dealt, rule), "links")
     linked = materialize(connected_components(links, "linked"), "linked")

@@ -58,7 +58,8 @@ def shortest_paths(arcs: DataFrame, sources: DataFrame, cost: str = "t0") -> Dat
 
 def walks(od: DataFrame, spt: DataFrame, arcs: DataFrame) -> DataFrame:
     """scenario_id, o, d, demand, arc_id, step: the links of each pair's path,
-    from the destination back, by one recursive query."""
+    from the destination back, by one recursive query. Paths may be as long as
+    spark.sql.cteRecursionLevelLimit; ``tree_flows`` has no such limit."""
     spark = od.sparkSession
     tree = spt.filter("pred_arc is not null").join(arcs.select("scenario_id", F.col("arc_id").alias("pred_arc"), "u"), ["scenario_id", "pred_arc"])
     return spark.sql(

@@ -79,7 +79,9 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 def duplicate_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs."""
     each = identities(docs, block_bytes)
+    # written: a join with an aggregate in its own stage could not split a large group's rows
     groups = each.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
+    groups = materialize(groups, "groups")
     joined = each.join(groups, ["n_blocks", "name"])
     return joined.select(
         "doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))).alias("copy")

@@ -170,7 +170,7 @@ def recurring(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
     anchors = found.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.min("seg").alias("least"), F.max("seg").alias("most"), F.max("self").alias("self")
     )
-    again = anchors.filter("n > 1 or self").select("anchor", F.expr("n > 1 and least = most").alias("whole"))
+    again = materialize(anchors.filter("n > 1 or self").select("anchor", F.expr("n > 1 and least = most").alias("whole")), "recurring-anchors")
     some = materialize(found.join(again, "anchor"), "recurring-segments")
     mixed = some.filter("not whole")
     # of each different segment one example is taken apart
@@ -181,14 +181,16 @@ def recurring(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
     same = texts["_id"].eqNullSafe(by_doc["doc_id"]) & (texts["_tag"] == by_doc["tag"])
     windows = materialize(_windows(texts.join(by_doc, same), window), "windows")
     counted = windows.groupBy("anchor", "hash").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", "hash")
+    # written: a join with an aggregate in its own stage could not split a common passage's rows
+    counted = materialize(counted, "counted-windows")
     places = windows.join(counted, ["anchor", "hash"]).groupBy("anchor", "seg").agg(F.collect_set("place").alias("places"))
+    places = materialize(places, "recurring-places")
     partly = mixed.join(places, ["anchor", "seg"]).select("doc_id", "tag", "lo", "hi", "places")
     wholly = some.filter("whole").select("doc_id", "tag", "lo", "hi", F.lit(None).cast("array<int>").alias("places"))
     runs = wholly.unionByName(partly).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "hi", "places")).alias("runs"))
     out = materialize(runs, "recurring-runs")
-    discard(found)
-    discard(some)
-    discard(windows)
+    for done in (found, again, some, windows, counted, places):
+        discard(done)
     return out
 
 

@@ -23,7 +23,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: The id that ends each document.
 END_ID = 0
 #: Words that each of a worker's memos holds at most.
-MEMO_WORDS = 450_000
+MEMO_WORDS = 700_000
 #: Missing words joined into one call of encode.
 JOINED = 2000
 #: Latin letters, then ASCII marks other than the apostrophe, which begins contractions.

@@ -1,15 +1,17 @@
-"""Reading tables, cutting lineage and Arrow plumbing shared by the operators."""
+"""Reading tables, cutting lineage and slicing Arrow batches, for all operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
+from arterial.plans.lineage import discard, materialize, shared_dir
+
+__all__ = ["SLICE_BYTES", "discard", "materialize", "shared_dir", "slices", "table"]
+
 #: Bytes of text that one Python step takes from an Arrow batch at a time.
 SLICE_BYTES = 2 << 20
 
@@ -18,44 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else
-    (only where it is unset, as in tests on one machine) a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='arterial-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends in files
-    that survive the loss of any executor. The files go when the JVM ends, or
-    before that by ``discard``."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/arterial/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    fs, where = _filesystem(spark, path)
-    fs.deleteOnExit(where)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._arterial_path = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_arterial_path", None)
-    if path:
-        fs, where = _filesystem(df.sparkSession, path)
-        fs.delete(where, True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about ``limit`` bytes of ``column``
     or one row, whichever is more."""

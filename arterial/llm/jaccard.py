@@ -95,14 +95,20 @@ class Rule:
     def class_starts(self, largest: int) -> list[int]:
         starts = [1]
         while starts[-1] <= largest:
-            starts.append(max(starts[-1] + 1, starts[-1] * self.den**3 // self.num**3 + 1))
+            starts.append(max(starts[-1] + 1, self._grown(starts[-1]) + 1))
         return starts
 
+    def _grown(self, size: int) -> int:
+        """The widest class from a size: three steps of the similarity where it
+        is high; one below 0.85, where wide classes would leave groups empty."""
+        step = 3 if self.num * 100 >= self.den * 85 else 1
+        return size * self.den**step // self.num**step
+
     def groups(self, top: int) -> tuple[int, int]:
         """Groups of a class of sizes up to top, and how many of them two
         linked sets agree in at least."""
         d = 2 * top * (self.den - self.num) // (self.den + self.num)
-        spare = 1 if not d else 2 + min(2, d // 4)
+        spare = 1 if not d else 2 + max(min(2, d // 4), d * (self.den - self.num) // self.den)
         return d + spare, spare
 
 
@@ -149,7 +155,7 @@ def routing_keys(s: np.ndarray, rule: Rule, starts: list[int], rare: np.ndarray)
     left = s[rare]
     strong = _mixed(left + _A)
     for c in classes:
-        top = starts[c + 1] - 1 if c + 1 < len(starts) else starts[c] * rule.den**3 // rule.num**3
+        top = starts[c + 1] - 1 if c + 1 < len(starts) else rule._grown(starts[c])
         k, agreeing = rule.groups(top)
         group = ((strong >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
         order = np.argsort(group, kind="stable")
@@ -178,16 +184,17 @@ def _routed(docs: DataFrame, rule: Rule, frequent: np.ndarray, parts: int) -> Da
         keys: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         held = 0
+        press = zstandard.ZstdCompressor(level=1).compress
 
         def handed() -> pa.RecordBatch:
             key, owner = np.concatenate(keys), np.concatenate(owners)
             key, least, edges = hung(key, owner)
             part = (key % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            order = np.lexsort((least, part))  # runs of one owner, which take no room compressed
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             key, least = key[order], least[order]
-            rows = [(p, key[b:e].tobytes(), least[b:e].tobytes()) for p, (b, e) in enumerate(zip(cuts, cuts[1:])) if e > b]
-            rows.append((-1, edges[0].tobytes(), edges[1].tobytes()))
+            rows = [(p, key[b:e].tobytes(), press(least[b:e].tobytes())) for p, (b, e) in enumerate(zip(cuts, cuts[1:])) if e > b]
+            rows.append((-1, edges[0].tobytes(), press(edges[1].tobytes())))
             p, k, i = zip(*rows)
             none = [None] * len(rows)
             return record(none, none, none, p, k, i)
@@ -239,14 +246,16 @@ def _edge_table(a: np.ndarray, b: np.ndarray) -> dict[str, pa.Array]:
 
 def _part_edges(group: pa.Table) -> pa.Table:
     keys = [np.frombuffer(k, np.uint64) for k in group["keys"].to_pylist()]
-    ids = [np.frombuffer(i, np.int64) for i in group["ids"].to_pylist()]
+    open_ = zstandard.ZstdDecompressor().decompress
+    ids = [np.frombuffer(open_(i), np.int64) for i in group["ids"].to_pylist()]
     return pa.table(_edge_table(*hung(np.concatenate(keys), np.concatenate(ids))[2]))
 
 
 def _task_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    open_ = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for a, b in zip(*(c.to_pylist() for c in batch.columns)):
-            yield pa.RecordBatch.from_pydict(_edge_table(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))
+            yield pa.RecordBatch.from_pydict(_edge_table(np.frombuffer(a, np.int64), np.frombuffer(open_(b), np.int64)))
 
 
 class Tree:

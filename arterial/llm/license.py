@@ -5,7 +5,10 @@ vector has a weight tf * idf for each of its words, where idf is
 1 + ln((1 + N) / (1 + df)) over all segments of all pages for the words of the
 templates, and 1 + ln(1 + N) for any other word (each occurrence of such a word
 is a dimension of its own). A page declares the template of its most similar
-segment, if that cosine reaches the threshold.
+segment, if that cosine reaches the threshold. A notice that inline markup or
+line feeds cut into several segments is found by joins: where no segment of a
+page reaches the threshold, runs of at most SPAN neighbouring segments between
+two block tags are scored as one, with the same weights.
 
 A directory's licence is that of its licence files (pages named license,
 licence, copying or notice), else the one that most of its own pages declare;
@@ -23,6 +26,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -44,6 +48,14 @@ TEMPLATES = {
 }
 THRESHOLD = 0.8
 
+#: Tags inside a sentence; any other tag ends a block, which joins do not cross.
+INLINE = "a|abbr|acronym|b|bdi|bdo|big|br|cite|code|data|dfn|em|font|i|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|time|tt|u|var|wbr"
+_INLINE_CUT = rf"<(?i:/?(?:{INLINE}))(?:[\s/][^>]*)?>|\n"
+_BLOCK_CUT = rf"<(?!(?i:/?(?:{INLINE}))(?:[\s/][^>]*)?>)[^>]*>"
+#: Most segments of a join: the longest template with each word a segment of its
+#: own, and as many other words as the threshold can bear at equal weights.
+SPAN = math.ceil(max(len(re.findall("[a-z0-9]+", t.lower())) for t in TEMPLATES.values()) / THRESHOLD**2)
+
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
@@ -78,8 +90,44 @@ def word_weights(cut: DataFrame) -> tuple[dict[str, float], float]:
     return {w: idf(w) for w in sorted({w for ws in _template_words().values() for w in ws})}, 1 + math.log(1 + n)
 
 
+def rare_words(weights: dict[str, float], threshold: float) -> list[str]:
+    """Template words of which a text must have one to reach the threshold: all
+    others together are too small a part of every template's length. Short words
+    are left out first, for long ones tell more pages apart."""
+    vectors = [{w: (ws.count(w) * weights[w]) ** 2 for w in set(ws)} for ws in _template_words().values()]
+    common: set[str] = set()
+    for w in sorted(weights, key=lambda w: (min(len(w), 3), weights[w], w)):
+        # a hair below the threshold, for scores are rounded
+        if all(sum(v.get(x, 0.0) for x in common | {w}) / sum(v.values()) < (threshold - 1e-3) ** 2 for v in vectors):
+            common.add(w)
+    return sorted(set(weights) - common)
+
+
+def joins(pages: DataFrame, rare: list[str]) -> DataFrame:
+    """page_id, url, hits, others of runs of 2 to SPAN neighbouring segments of
+    a block. A run that begins or ends without a hit is less similar than the
+    run without that end, and one without a rare word is never similar enough:
+    these are not made."""
+    vocabulary = F.array(*(F.lit(w) for w in sorted({w for ws in _template_words().values() for w in ws})))
+    has_rare = rf"(?<![a-z0-9])(?:{'|'.join(rare)})(?![a-z0-9])"
+    # lowered once and tested before any cut; an outer explode, since Spark would cut every page to infer a filter for a plain one
+    holds = F.element_at(F.transform(F.array(F.lower("html")), lambda h: functools.reduce(lambda a, b: a | b, (h.contains(w) for w in rare))), 1)
+    each = pages.select("page_id", "url", F.explode_outer(F.when(holds, F.split("html", _BLOCK_CUT))).alias("block"))
+    blocks = each.filter(F.col("block").rlike(_INLINE_CUT) & F.lower("block").rlike(has_rare))
+    pieces = blocks.select("page_id", "url", F.filter(F.transform(F.split("block", _INLINE_CUT), words_of), lambda ws: F.size(ws) > 0).alias("pieces")).filter(F.size("pieces") > 1)
+    hit = F.transform("pieces", lambda ws: F.filter(ws, lambda w: F.array_contains(vocabulary, w)))
+    counted = pieces.select("page_id", "url", F.transform(F.arrays_zip(F.col("pieces").alias("words"), hit.alias("hits")), lambda p: F.struct(p["hits"].alias("hits"), (F.size(p["words"]) - F.size(p["hits"])).alias("others"))).alias("pieces"))
+    first = F.filter(F.sequence(F.lit(1), F.size("pieces") - 1), lambda i: F.size(F.element_at("pieces", i)["hits"]) > 0)
+    runs = counted.select("page_id", "url", F.explode(F.transform(first, lambda i: F.slice("pieces", i, SPAN))).alias("run"))
+    last = F.filter(F.sequence(F.lit(2), F.size("run")), lambda k: F.size(F.element_at("run", k)["hits"]) > 0)
+    part = runs.filter(F.size("run") > 1).select("page_id", "url", F.explode(F.transform(last, lambda k: F.slice("run", 1, k))).alias("run"))
+    others = F.aggregate("run", F.lit(0), lambda a, p: a + p["others"])
+    return part.select("page_id", "url", F.flatten(F.transform("run", lambda p: p["hits"])).alias("hits"), others.alias("others"))
+
+
 def declared(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """page_id, url, license, score: the best segment's template, or nulls."""
+    """page_id, url, license, score: the best segment's template, else the best
+    join's, or nulls."""
     cut = segments(pages)
     weights, other = word_weights(cut)
     idf = F.create_map(*(x for w, v in weights.items() for x in (F.lit(w), F.lit(v))))
@@ -88,16 +136,17 @@ def declared(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     scored = []
     # the norm is at least that of the other words, and a hit counts at most its own weight: an upper bound without sums
     most = max(weights.values())
-    able = cut.filter((F.size("hits") > 0) & (F.sqrt(F.col("others").cast("double")) * other * threshold <= F.size("hits") * most))
+    every = cut.withColumn("joined", F.lit(False)).unionByName(joins(pages, rare_words(weights, threshold)).withColumn("joined", F.lit(True)))
+    able = every.filter((F.size("hits") > 0) & (F.sqrt(F.col("others").cast("double")) * other * threshold <= F.size("hits") * most))
     for name, words in sorted(_template_words().items()):
         tf = {w: words.count(w) for w in set(words)}
         length = math.sqrt(sum((n * weights[w]) ** 2 for w, n in tf.items()))
         own = F.create_map(*(x for w, n in sorted(tf.items()) for x in (F.lit(w), F.lit(n * weights[w] * weights[w] / length))))
         dot = F.aggregate("hits", F.lit(0.0), lambda a, w: a + F.coalesce(own[w], F.lit(0.0)))
         scored.append(F.struct(F.round(dot / F.col("norm"), 6).alias("score"), F.lit(name).alias("license")))
-    best = able.withColumn("norm", norm).select("page_id", "url", F.explode(F.array(*scored)).alias("s")).filter(F.col("s.score") >= threshold)
+    best = able.withColumn("norm", norm).select("page_id", "url", "joined", F.explode(F.array(*scored)).alias("s")).filter(F.col("s.score") >= threshold)
     # of equal scores the first name counts; negative scores order both by one minimum
-    top = best.groupBy("page_id", "url").agg(F.min(F.struct((-F.col("s.score")).alias("minus"), F.col("s.license").alias("license"))).alias("b"))
+    top = best.groupBy("page_id", "url").agg(F.min(F.struct("joined", (-F.col("s.score")).alias("minus"), F.col("s.license").alias("license"))).alias("b"))
     found = top.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"))
     both = pages.select("page_id", "url")
     return both.join(found, both["page_id"].eqNullSafe(found["_id"]) & both["url"].eqNullSafe(found["_url"]), "left").select("page_id", "url", "license", "score")

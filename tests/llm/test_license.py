@@ -49,3 +49,23 @@ def test_scan_equals_sql(spark, rows):
 
 def test_no_pages(spark):
     assert license.scan(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_notices_cut_by_inline_markup_and_line_feeds(spark):
+    link = 'Licensed under the <a href="x">Apache License</a>, Version 2.0.'
+    html = [
+        f"<p>{link}</p>",
+        "<p>This Source Code Form is subject to the terms\nof the <B>Mozilla</B> Public License,<br/>\nv. 2.0.</p>",
+        f"<p>some words before that have no part in it\n{link}\nand some more words after it</p>",
+        "<p>Released under the</p><p>MIT License.</p>",
+        f"<p>All rights reserved.</p><p>{link}</p>",
+        "<p>" + " ".join(f"<i>{w}</i>" for w in license.TEMPLATES["bsd-3-clause"].split()) + "</p>",
+        "<p>plain</p>",
+    ]
+    filler = [f"<p>alpha{i} the of beta{i}</p>" for i in range(60)]
+    pages = spark.createDataFrame([(i, f"https://s{i}.org/d/p", h, "", "") for i, h in enumerate(html + filler)], PAGES)
+    got = {r.page_id: r.license for r in license.declared(pages).collect()}
+    assert [got[i] for i in range(len(html))] == ["apache-2.0", "mpl-2.0", "apache-2.0", None, "all-rights-reserved", "bsd-3-clause", None]
+    # what such a page declares reaches the pages of its directory
+    more = pages.union(spark.createDataFrame([(900, "https://s0.org/d/q", "<p>plain</p>", "", "")], PAGES))
+    assert {r.page_id: r.inherited for r in license.scan(more).collect()}[900] == "apache-2.0"

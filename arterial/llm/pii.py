@@ -95,22 +95,31 @@ _LOOSE = {
     "card": re.compile(r"(?<![0-9])[0-9](?:[\x20./-]{0,2}[0-9]){13,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:\+|00)?\x20?(?:\(?[0-9]{1,5}\)?[\x20./-]{1,2}){1,5}[0-9]{2,8}(?![0-9])"),
 }
-_SPOKEN = re.compile(
-    r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|[(\[]at[)\]]|\bat\b)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[(\[]dot[)\]]|\bdot\b)\x20?[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE
-)
-_SPOKEN_SIGN = re.compile(r"[(\[](?:at|dot)[)\]]|\x20dot\x20", re.IGNORECASE)
+_SPOKEN_AT = re.compile(r"@|[(\[]at[)\]]|\bat\b", re.IGNORECASE)
+_SPOKEN_DOMAIN = re.compile(r"\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[(\[]dot[)\]]|\bdot\b)\x20?[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
+
+
+def _spoken(text: str) -> Iterator[tuple[int, int]]:
+    """Written-out addresses from each sign: at most 64 signs of a local part
+    before it, a domain after it. A match begins where the last one ended, or
+    later."""
+    free = 0
+    for m in _SPOKEN_AT.finditer(text):
+        if m.start() < free:
+            continue
+        last = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        begin = last
+        while begin > max(free, last - 64) and text[begin - 1] in _LOCAL:
+            begin -= 1
+        domain = _SPOKEN_DOMAIN.match(text, m.end()) if begin < last else None
+        if domain:
+            yield begin, domain.end()
+            free = domain.end()
 
 
 def proposals(text: str) -> list[Span]:
     """Overlapping spans of any kind, most of them wrong."""
-    out: list[Span] = []
-    done = 0
-    for m in _SPOKEN_SIGN.finditer(text):  # only around such a sign
-        if m.start() < done:
-            continue
-        begin, end = max(done, m.start() - 150), m.end() + 150
-        out += [("email", begin + x.start(), begin + x.end()) for x in _SPOKEN.finditer(text[begin:end])]
-        done = end
+    out: list[Span] = [("email", b, e) for b, e in _spoken(text)]
     if _DIGIT.search(text):
         for m in _REGION.finditer(text):
             for kind, pattern in _LOOSE.items():

@@ -116,3 +116,18 @@ def test_scan(spark, hard, empty, trees):
     assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == want
     assert pii.scan(empty, trees).count() == 0
     assert pii.redact("to a@b.c now", [("email", 3, 8)]) == "to [email] now"
+
+
+def test_dense_written_out_addresses_are_proposed_whole():
+    names = ["frank", "greta.lund", "h7", "ida", "jo"]
+    for at, dot in ((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), (" @ ", "."), (" at ", ".")):
+        data = [f"{names[i % 5]}{i}{at}example{i}{dot}com" for i in range(200)]
+        text = ", ".join(data)
+        got = [text[b:e] for kind, b, e in pii.proposals(text) if kind == "email"]
+        assert got == data, (at, dot)
+    long = "a" * 64 + " at " + ".".join(["b" * 63] * 5)
+    assert ("email", 0, len(long)) in pii.proposals(long)
+    # the trees keep the written-out ones of a dense list
+    text = "; ".join(f"mail {names[i % 5]}{i} (at) example{i} (dot) com" for i in range(200))
+    (_, added), = pii.find([text], pii.learn())
+    assert sum(kind == "email" for kind, *_ in added) == 200

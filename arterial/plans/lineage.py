@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else
-    (only where it is unset, as in tests on one machine) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only
+    where that is unset and everything runs in one process on one machine, as
+    in tests, is it a temporary one; a cluster must name its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='arterial-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -30,7 +33,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     before that by ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arterial/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     fs, where = _filesystem(spark, path)
     fs.deleteOnExit(where)
     back = spark.read.schema(df.schema).parquet(path)
@@ -38,9 +41,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame | None) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_arterial_path", None)
-    if path:
-        fs, where = _filesystem(df.sparkSession, path)
-        fs.delete(where, True)
+    for df in tables:
+        path = getattr(df, "_arterial_path", None)
+        if path:
+            fs, where = _filesystem(df.sparkSession, path)
+            fs.delete(where, True)
+
+
+def finished(df: DataFrame, label: str, *tables: DataFrame | None) -> DataFrame:
+    """df, written, after which the tables that it was made of are deleted."""
+    out = materialize(df, label)
+    discard(*tables)
+    return out

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arterial.plans.lineage import discard, materialize, shared_dir
+from arterial.plans.lineage import discard, finished, materialize, shared_dir
 
-__all__ = ["SLICE_BYTES", "discard", "materialize", "shared_dir", "slices", "table"]
+__all__ = ["SLICE_BYTES", "discard", "finished", "materialize", "numbered", "shared_dir", "slices", "table"]
 
 #: Bytes of text that one Python step takes from an Arrow batch at a time.
 SLICE_BYTES = 2 << 20
@@ -20,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a number of its own for each row, and the name of
+    that column, which none of docs has."""
+    name = "row"
+    while name in [c.lower() for c in docs.columns]:
+        name = f"_{name}"
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about ``limit`` bytes of ``column``
     or one row, whichever is more."""

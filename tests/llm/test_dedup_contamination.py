@@ -12,7 +12,7 @@ from arterial.llm import decontaminate, exact_dedup, language
 from .conftest import rows_of
 
 
-@pytest.mark.parametrize("block", [4096, 16])
+@pytest.mark.parametrize("block", [4096, 1000])
 def test_exact_dedup(hard, block):
     docs = rows_of(hard)
     groups = {}
@@ -32,10 +32,10 @@ def test_exact_dedup(hard, block):
 
 def test_blocks_with_one_hash(spark, hard, monkeypatch):
     """Names come from content even where hashes collide."""
-    want = sorted(map(str, exact_dedup.duplicate_groups(hard, 32).collect()))
+    want = sorted(map(str, exact_dedup.duplicate_groups(hard, 2000).collect()))
     weak = F.xxhash64
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda c: F.pmod(weak(c), F.lit(7)))
-    assert sorted(map(str, exact_dedup.duplicate_groups(hard, 32).collect())) == want
+    assert sorted(map(str, exact_dedup.duplicate_groups(hard, 2000).collect())) == want
 
 
 def test_exact_dedup_of_nothing(empty):
@@ -140,3 +140,24 @@ def test_ngrams_against_a_plain_count():
             if 0 < j < len(s) - 1 and s[j]:
                 want[i, 3 << 36 | s[j - 1] << 24 | s[j] << 12 | s[j + 1]] += 1
     assert got == want
+
+
+def test_exact_dedup_keeps_one_of_repeated_rows(spark):
+    """Repeated rows that win their group, short and of several blocks."""
+    long = "x" * 9_000
+    rows = [(5, "a"), (5, "a"), (5, "a"), (2, "a"), (7, long), (7, long), (1, long), (None, None), (None, ""), (3, "b")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, row int, _row int").repartition(3)
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.duplicate_groups(docs).collect())
+    assert got == Counter({(5, 5, 4, True): 1, (5, 5, 4, False): 2, (2, 5, 4, False): 1, (7, 7, 3, True): 1, (7, 7, 3, False): 1, (1, 7, 3, False): 1, (None, None, 2, True): 1, (None, None, 2, False): 1, (3, 3, 1, True): 1})
+    left = exact_dedup.drop_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (3, "b"), (5, "a"), (7, long)]
+
+
+def test_names_are_places_in_one_sorted_list(spark):
+    keys = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("left"), (F.col("id") % 3).alias("right"))
+    for n in ("3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        named = sorted((r.left, r.right, r.name) for r in exact_dedup._sorted_names(keys, "test").collect())
+        assert [n for *_, n in named] == list(range(1000))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -2,7 +2,7 @@
 
 A document's set holds its distinct n-word shingles (lower-cased A-Z); with
 fewer words the whole sequence is its one shingle. Two documents link when
-their sets' Jaccard similarity reaches num / den. The result is exact.
+their sets' Jaccard similarity reaches num / den, where shingles are told apart by hashes of 64 bits.
 
 1. Routing. Two sets of at most u shingles that link differ in at most d of
    them, d = 2u (den - num) / (den + num). Shingles are dealt by hash into more
@@ -19,11 +19,11 @@ their sets' Jaccard similarity reaches num / den. The result is exact.
    nodes hold the OR of their token bitmaps and the range of sizes. Two nodes
    are compared from the roots down; a pair whose largest possible overlap is
    too small for its sizes, or whose members are all linked already, is left.
-   Pairs of leaves are counted exactly. Clusters beyond ``CLUSTER`` members are
-   dealt into blocks, and each pair of blocks of matching sizes is a tree join
-   of its own.
+   Pairs of leaves are counted one by one. Clusters beyond ``CLUSTER`` members
+   or ``CLUSTER_SHINGLES`` shingles are dealt into blocks, and each pair of
+   blocks of matching sizes is a tree join of its own.
 
-Shingles are compared by 64-bit hashes. Null and empty texts, and texts of
+Null and empty texts, and texts of
 white space, have an empty set, link with nothing and are their own component.
 Rows that repeat a doc_id are one document; a null doc_id is one larger than
 all others and shown as null. An empty table gives an empty result.
@@ -38,10 +38,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arterial.llm.common import discard, materialize, slices
+from arterial.llm.common import discard, finished, materialize, numbered, slices
 from arterial.llm.components import connected_components
 
 #: Bins of the table of shingle counts.
@@ -53,8 +53,9 @@ PART_KEYS = 2_000_000
 LEAST_PARTS = 64
 #: Keys that a task gathers before it hands them on.
 HELD_KEYS = 1_000_000
-#: Members of a cluster, or of a pair of blocks, that one tree join takes.
-CLUSTER = 2_000
+#: Members of a cluster, or of a pair of blocks, that one tree join takes, and
+#: their shingles: a task holds no more texts than have about so many words.
+CLUSTER, CLUSTER_SHINGLES = 1_000, 2_000_000
 #: Members of a leaf, and children of a node.
 LEAF, FAN = 24, 6
 NO_ID = np.iinfo(np.int64).max
@@ -305,7 +306,20 @@ class Forest:
         self.up[max(i, j)] = min(i, j)
 
 
-def tree_join(tree: Tree, other: Tree, rule: Rule, forest: Forest, shift: int = 0) -> None:
+class Pairs:
+    """In a forest's place: notes every link, and takes none as known."""
+
+    def __init__(self) -> None:
+        self.found: list[tuple[int, int]] = []
+
+    def root(self, i: int) -> int:
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        self.found.append((i, j))
+
+
+def tree_join(tree: Tree, other: Tree, rule: Rule, forest: Forest | Pairs, shift: int = 0) -> None:
     """Join in the forest what links between two trees (or within one, if they
     are the same); members of the other count from ``shift``."""
     same = tree is other
@@ -337,7 +351,7 @@ def tree_join(tree: Tree, other: Tree, rule: Rule, forest: Forest, shift: int =
             todo += [(i, x, j - 1, second) for second in range(y * FAN, min(len(other.levels[j - 1][1]), (y + 1) * FAN))]
 
 
-def _leaves(tree: Tree, other: Tree, a: tuple[int, int], b: tuple[int, int], rule: Rule, forest: Forest, shift: int, within: bool) -> None:
+def _leaves(tree: Tree, other: Tree, a: tuple[int, int], b: tuple[int, int], rule: Rule, forest: Forest | Pairs, shift: int, within: bool) -> None:
     tokens = np.concatenate(other.sets[b[0] : b[1]])
     owner = np.repeat(np.arange(b[1] - b[0]), other.size[b[0] : b[1]])
     order = np.argsort(tokens, kind="stable")
@@ -362,9 +376,9 @@ def _grown(sets: list[np.ndarray]) -> int:
     return min(1 << 16, max(256, 1 << (4 * largest - 1).bit_length()))
 
 
-def link_members(ids: list[int], texts: list[str], left: list[bool], right: list[bool], rule: Rule) -> list[tuple[int, int]]:
+def link_members(ids: list[int], texts: list[str], left: list[bool], right: list[bool], rule: Rule, every: bool = False) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links between the members marked left
-    and those marked right."""
+    and those marked right, or all these links."""
     sets = [shingles(t, rule.n) for t in texts]
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     sides = [[i for i in order if side[i] and len(sets[i])] for side in (left, right)]
@@ -374,12 +388,14 @@ def link_members(ids: list[int], texts: list[str], left: list[bool], right: list
     bits = _grown(sets)
     trees = [Tree([sets[i] for i in s], bits) for s in (sides[:1] if whole else sides)]
     members = sides[0] if whole else sides[0] + sides[1]
-    forest = Forest(len(members))
+    forest = Pairs() if every else Forest(len(members))
     tree_join(trees[0], trees[-1], rule, forest, 0 if whole else len(sides[0]))
+    if every:
+        return [(ids[members[i]], ids[members[j]]) for i, j in forest.found]
     return [(ids[members[i]], ids[members[forest.root(i)]]) for i in range(len(members)) if forest.root(i) != i]
 
 
-def _cluster_links(rows: DataFrame, rule: Rule) -> DataFrame:
+def _cluster_links(rows: DataFrame, rule: Rule, every: bool) -> DataFrame:
     """Edges from rows (task, doc_id, text, left, right), sorted by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +403,7 @@ def _cluster_links(rows: DataFrame, rule: Rule) -> DataFrame:
         edges: list[tuple[int, int]] = []
 
         def joined() -> list[tuple[int, int]]:
-            return link_members(*map(list, zip(*held)), rule) if len(held) > 1 else []
+            return link_members(*map(list, zip(*held)), rule, every) if len(held) > 1 else []
 
         for batch in batches:
             for t, doc_id, text, left, right in zip(*(c.to_pylist() for c in batch.columns)):
@@ -410,8 +426,9 @@ def _size_class(rule: Rule) -> float:
     return float(np.log(rule.den / rule.num)) * 1.0001  # no rounding parts sizes that can link by two levels
 
 
-def link_components(docs: DataFrame, rule: Rule = Rule(), cluster: int = CLUSTER) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs."""
+def _linked(docs: DataFrame, rule: Rule, cluster: int, shingle_limit: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, n, digest), distinct sets (digest, rep, n) and edges
+    (a, b) between representatives; all written."""
     frequent, total = frequent_bins(docs, rule)
     share = 2 * (rule.den - rule.num) / (rule.den + rule.num)
     parts = max(LEAST_PARTS, int(2 * share * total) // PART_KEYS)
@@ -424,11 +441,12 @@ def link_components(docs: DataFrame, rule: Rule = Rule(), cluster: int = CLUSTER
     # written, so that the join with the documents of a much copied set can be split
     sets = materialize(known.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "distinct-sets")
     members = materialize(sets.select(F.col("rep").alias("node"), "n").join(clusters, "node"), "members")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("held")).filter("m > 1")
     # members and their tasks: a cluster is one, or a pair of its blocks is
     chosen = members.join(sizes, "component")
-    small = chosen.filter(F.col("m") <= cluster).select("node", F.array(F.col("component")).alias("task"), F.lit(True).alias("left"), F.lit(True).alias("right"))
-    blocks = F.ceil(F.col("m") * 2 / cluster).cast("int")
+    fits = (F.col("m") <= cluster) & (F.col("held") <= shingle_limit)
+    small = chosen.filter(fits).select("node", F.array(F.col("component")).alias("task"), F.lit(True).alias("left"), F.lit(True).alias("right"))
+    blocks = F.least(F.col("m"), F.greatest(F.ceil(F.col("m") * 2 / cluster), F.ceil(F.col("held") * 2 / shingle_limit))).cast("int")
     level = F.floor(F.log(F.col("n").cast("double")) / _size_class(rule)).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     # sizes that can link lie in one level or in neighbours; a task is (component, level, block, level or next, block)
@@ -441,21 +459,58 @@ def link_components(docs: DataFrame, rule: Rule = Rule(), cluster: int = CLUSTER
             )
         )
     )
-    large = chosen.filter(F.col("m") > cluster).select("node", there.alias("t")).select("node", "t.task", "t.left", "t.right")
+    large = chosen.filter(~fits).select("node", there.alias("t")).select("node", "t.task", "t.left", "t.right")
     tasks = small.unionByName(large)
     texts = docs.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "text")
     # members grow with the documents: no size at which they would be broadcast
     rows = texts.join(tasks.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
     dealt = rows.repartition("task").sortWithinPartitions("task")
-    links = materialize(_cluster_links(dealt, rule), "links")
+    links = materialize(_cluster_links(dealt, rule, every), "links")
+    discard(members, clusters)
+    return known, sets, links
+
+
+def _shown(c: Column) -> Column:
+    return F.nullif(c, F.lit(int(NO_ID)))
+
+
+def link_components(docs: DataFrame, rule: Rule = Rule(), cluster: int = CLUSTER, shingle_limit: int = CLUSTER_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs."""
+    known, sets, links = _linked(docs, rule, cluster, shingle_limit, every=False)
     linked = materialize(connected_components(links, "linked"), "linked")
     out = known.join(sets.select("digest", "rep"), "digest", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.least(F.coalesce("component", "rep", "doc_id"), F.coalesce("rep", "doc_id"))
-    shown = lambda c: F.nullif(c, F.lit(int(NO_ID)))
-    return out.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(own).alias("component_id"))
+    out = out.select(_shown(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), _shown(own).alias("component_id"))
+    return finished(out, "linked-documents", known, sets, links, linked)
+
+
+def link_pairs(docs: DataFrame, rule: Rule = Rule(), cluster: int = CLUSTER, shingle_limit: int = CLUSTER_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """Every link: doc_id, n_shingles, representative, n_links of each row of
+    docs, where n_links counts all other documents that it links with, copies
+    too; and the pairs (a, b) of representatives whose sets link. The
+    representative is the smallest doc_id of equal sets."""
+    known, sets, links = _linked(docs, rule, cluster, shingle_limit, every=True)
+    ids = known.filter("n > 0").select("doc_id", "digest").distinct()
+    copies = materialize(ids.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).join(sets.select("digest", "rep"), "digest"), "copies")
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(copies.select(F.col("rep").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    sums = materialize(copies.join(others.withColumnRenamed("a", "rep"), "rep", "left"), "link-counts")
+    n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).cast("long")
+    out = known.join(sums, "digest", "left").select(
+        _shown(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), _shown(F.coalesce("rep", "doc_id")).alias("representative"), n_links.alias("n_links")
+    )
+    pairs = finished(links.select(_shown(F.col("a")).alias("a"), _shown(F.col("b")).alias("b")), "link-pairs", links)
+    return finished(out, "link-members", known, sets, copies, sums), pairs
 
 
 def drop_near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
-    """The rows of docs of which each component keeps its smallest doc_id."""
-    gone = link_components(docs, rule).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows of docs of which each component keeps one, with the smallest
+    doc_id (null last). Every row is a document of its own here, so of repeated
+    rows one stays, and rows of one doc_id with other texts are apart."""
+    rows, own = numbered(docs)
+    linked = link_components(rows.select(F.col(own).alias("doc_id"), "text"), rule)
+    ids = rows.select(F.col(own).alias("_own"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(own).alias("own")).alias("id"))
+    first = ids.join(linked, F.col("_own") == linked["doc_id"]).groupBy("component_id").agg(F.min("id").alias("id"))
+    stays = materialize(first.select(F.col("id.own").alias(own)), "rows-that-stay")
+    discard(linked)
+    return finished(rows.join(stays, own, "left_semi").select(*docs.columns), "kept-rows", rows, stays)

@@ -5,9 +5,10 @@ first piece taking what is left over. Pieces are dealt to partitions, which
 pack them best fit decreasing. A dual-feasible function f maps fractions of a
 sequence to fractions so that any set that fits sums to at most 1; the largest
 sum of f over the pieces is a lower bound of the bins. A partition whose bins
-meet its bound is certified and closed but for its emptiest one. One with a gap closes its full bins and
-passes the pieces of the others on; gaps of several partitions are merged, and
-best fit decreasing runs again, until one partition is left.
+meet its bound is certified and closed but for its emptiest one. One with a gap
+closes its full bins and passes the pieces of the others on; these are dealt
+anew among fewer partitions, and best fit decreasing runs again, until one
+partition is left or what is left is too much for half as many.
 
 Null text counts as empty: one piece, the end id. Rows that repeat a doc_id are
 packed each for itself. An empty table gives an empty result.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arterial.llm.common import discard, materialize, slices
+from arterial.llm.common import finished, materialize, slices
 from arterial.llm.tokens import END_ID, VOCABULARY, encoder
 
 #: Tokens of a sequence.
@@ -105,8 +106,8 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets, np.array(free, np.int64)
 
 
-def _packer(capacity: int, last: bool, base: int) -> Callable[[pa.Table], pa.Table]:
-    """Packs a group of pieces; those that it passes on get sequence_id -1."""
+def _packer(columns: dict[str, str], capacity: int, last: bool, base: int) -> Callable[[pa.Table], pa.Table]:
+    """Packs a group of pieces; those that it passes on get a null sequence."""
 
     def run(group: pa.Table) -> pa.Table:
         lengths = group["length"].to_numpy().astype(np.int64)
@@ -117,45 +118,57 @@ def _packer(capacity: int, last: bool, base: int) -> Callable[[pa.Table], pa.Tab
             passed = free[bins] > 0
         else:  # certified, but for what rounding up leaves in the emptiest bin
             passed = (bins == free.argmax()) & (free.max() > 0)
-        ids = np.where(passed, -1, base + (group["group"][0].as_py() << 28) + bins)
-        for name, values in (("sequence_id", ids), ("offset", offsets)):
-            group = group.set_column(group.schema.get_field_index(name), name, pa.array(values, pa.int64()))
+        ids = base + (group[columns["group"]][0].as_py() << 28) + bins
+        for name, values in ((columns["sequence"], pa.array(ids, pa.int64(), mask=passed)), (columns["offset"], pa.array(offsets, pa.int64()))):
+            group = group.set_column(group.schema.get_field_index(name), name, values)
         return group
 
     return run
 
 
+def next_groups(groups: int, left: int, per_partition: int) -> int:
+    """Groups of the next round, so that none is to hold more than
+    ``per_partition`` pieces; as many as now where less than half would do no
+    longer, which ends the rounds."""
+    wanted = max(-(-groups // MERGE), -(-left // per_partition), 1)
+    return wanted if 2 * wanted <= groups else groups
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION) -> DataFrame:
     """The pieces with sequence_id and offset. pieces may have further columns
-    beside length; all are kept."""
-    spark = pieces.sparkSession
+    beside length; all are kept.
+
+    Every round deals the pieces that are left to groups of equal expected size
+    by the hash of a row number, so that no group depends on ids or on what
+    other groups passed on. Where best fit leaves too much for fewer groups
+    (lengths of which no set fills a sequence), the groups close all bins: no
+    group ever holds much more than ``per_partition`` pieces."""
     names = pieces.columns
-    schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "group": F.lit(0).cast("long")}).schema
-    todo = materialize(pieces, "pieces")
-    n = todo.count()
-    groups = max(1, -(-n // per_partition))
-    closed: list[DataFrame] = []
-    key = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("long")
-    level = 0
-    source = todo
+    lower = [c.lower() for c in names]
+    free = lambda c: c if c not in lower else free(f"_{c}")
+    columns = {c: free(c) for c in ("row", "group", "sequence", "offset")}
+    row, group, sequence, offset = columns.values()
+    none = F.lit(None).cast("long")
+    source = materialize(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    groups = max(1, -(-source.count() // per_partition))
+    last, level, closed, done = groups == 1, 0, [], [source]
     while True:
-        last = groups == 1
-        dealt = source.withColumn("group", key).withColumns({"sequence_id": F.lit(-1).cast("long"), "offset": F.lit(0).cast("long")})
-        # the grouped function sees its group's pieces only: a bounded number in the first round, what gaps leave of them later
-        packed = materialize(dealt.select(*names, "sequence_id", "offset", "group").groupBy("group").applyInArrow(_packer(capacity, last, level << 56), schema), "packed")
-        closed.append(packed.filter("sequence_id >= 0").select(*names, "sequence_id", "offset"))
+        key = F.pmod(F.xxhash64(row, F.lit(level)), F.lit(groups)).cast("long")
+        dealt = source.select(*names, row, key.alias(group), none.alias(sequence), none.alias(offset))
+        # the grouped function holds its group's pieces only, a bounded number
+        packed = materialize(dealt.groupBy(group).applyInArrow(_packer(columns, capacity, last, level << 56), dealt.schema), "packed")
+        done.append(packed)
+        closed.append(packed.filter(F.col(sequence).isNotNull()))
         if last:
             break
-        source = packed.filter("sequence_id < 0").select(*names, F.col("group").alias("_was"))
-        left = source.count()
-        groups = min(-(-groups // MERGE), max(1, -(-left // per_partition)))
-        key = F.pmod(F.col("_was"), F.lit(groups)).cast("long")
-        level += 1
-    discard(todo)
+        source = packed.filter(F.col(sequence).isNull())
+        was, groups = groups, next_groups(groups, source.count(), per_partition)
+        last, level = groups in (1, was), level + 1
     out = closed[0]
     for more in closed[1:]:
         out = out.unionByName(more)
-    return out
+    out = out.select(*names, F.col(sequence).alias("sequence_id"), F.col(offset).alias("offset"))
+    return finished(out, "sequences", *done)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -83,6 +83,27 @@ def test_packing(spark, hard, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_where_no_round_can_close_bins(spark, monkeypatch):
+    """Two pieces of 600 to 999 leave every sequence open, so nothing gets
+    fewer: no group may hold all. Repeated rows and clashing names are kept."""
+    sizes = []
+    best = packing.best_fit_decreasing
+    monkeypatch.setattr(packing, "lower_bound", lambda lengths, capacity=0: sizes.append(len(lengths)) or 0)
+    rows = [(1, 0, 600 + i * 7 % 400, "g", i) for i in range(4000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, group string, row long")
+    monkeypatch.setattr(packing, "PIECES_PER_PARTITION", 0)
+    packed = packing.pack(pieces, 2048, per_partition=250)
+    assert packed.columns == [*pieces.columns, "sequence_id", "offset"]
+    got = packed.collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in parts) <= 2048 and sorted(parts)[-1][0] == sum(n for _, n in sorted(parts)[:-1]) for parts in by.values())
+    assert len(by) < 1.1 * len(best(np.array([r[2] for r in rows]), 2048)[2])
+    assert packing.next_groups(64, 10**6, 1000) == 64 and packing.next_groups(64, 5000, 1000) == 8 and packing.next_groups(2, 0, 10) == 1
+
+
 def test_lower_bound_is_one():
     rng = np.random.default_rng(1)
     for _ in range(60):

@@ -14,9 +14,10 @@ gives one row, repeated rows too; an empty table gives none.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -286,6 +287,30 @@ def learn(examples: int = 3000, seed: int = 3, precision: float = 0.98) -> Trees
     return trees
 
 
+class _Free:
+    """What base spans and spans taken later leave free, looked up by
+    bisection. Base spans may overlap each other; they are merged."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+        for b, e in sorted(spans):
+            if self.ends and b < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.begins.append(b)
+                self.ends.append(e)
+
+    def take(self, b: int, e: int) -> bool:
+        """Whether b..e was free; if so, it is taken now."""
+        at = bisect.bisect_left(self.begins, e)
+        if at and self.ends[at - 1] > b:
+            return False
+        self.begins.insert(at, b)
+        self.ends.insert(at, e)
+        return True
+
+
 def find(texts: list[str], trees: Trees) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and added spans of each text, in order."""
     based = [base_spans(t) for t in texts]
@@ -298,12 +323,11 @@ def find(texts: list[str], trees: Trees) -> list[tuple[list[Span], list[Span]]]:
         own = p[at : at + len(spans)]
         at += len(spans)
         added: list[Span] = []
-        taken = sorted((b, e) for _, b, e in good)
+        free = _Free((b, e) for _, b, e in good)
         for i in np.argsort(-own, kind="stable").tolist():
             kind, b, e = spans[i]
-            if own[i] >= trees.thresholds[KINDS.index(kind)] and all(e <= x or b >= y for x, y in taken):
+            if own[i] >= trees.thresholds[KINDS.index(kind)] and free.take(b, e):
                 added.append(spans[i])
-                taken.append((b, e))
         key = lambda s: (s[1], KINDS.index(s[0]))
         out.append((sorted(good, key=key), sorted(added, key=key)))
     return out

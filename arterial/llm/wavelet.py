@@ -7,7 +7,9 @@ a place are counted (rank) and its k-th occurrence is found (select), in as
 many steps as an id has bits. A shard's file is a header, a directory and the
 planes' blocks, each compressed for itself, so that a look-up opens one block a
 plane. Files are kept as binary values in a Parquet container, with the shard's
-documents beside them: Spark writes and reads it in any store.
+documents beside them: Spark writes and reads it in any store. Named a path,
+they stay there, and ``open_shards`` opens them again; ``ids_at``, ``counts``
+and ``occurrences`` look ids up in them without decoding any.
 
 Documents are written in ascending doc_id order; null ids come first, and rows
 that repeat an id follow each other in the order of their texts. Null text
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arterial.llm.common import materialize, slices
@@ -169,8 +171,9 @@ class WaveletMatrix:
         return x
 
 
-def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Encode, write the shards' files in doc_id order, and open them again."""
+def write_shards(docs: DataFrame, path: str | None = None, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Encode, write the shards' files in doc_id order, and open them again.
+    Without a path they are kept in the shared folder while the session lasts."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocabulary), np.array([END_ID], "<u4").tobytes()
@@ -197,8 +200,15 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: in
             yield closed()
 
     rows = docs.select("doc_id", "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(write, SHARD), "wavelet-shards")
+    shards = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, SHARD)
+    if path is None:
+        return materialize(shards, "wavelet-shards")
+    shards.write.parquet(path)  # files are compressed already; an existing path raises
+    return open_shards(docs.sparkSession, path)
+
+
+def open_shards(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SHARD).parquet(path)
 
 
 def shard_bases(shards: DataFrame) -> DataFrame:
@@ -236,3 +246,79 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
     rows = shards.mapInArrow(read, "doc_id long, part int, shard int, at long, n_tokens long, ids_crc32 long")
     return rows.join(shard_bases(shards), ["part", "shard"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _placed(found: DataFrame, shards: DataFrame) -> DataFrame:
+    """found (part, shard, at, ..) with at as place among the ids of all shards."""
+    both = found.join(shard_bases(shards), ["part", "shard"])
+    return both.withColumn("place", F.col("base") + F.col("at")).drop("part", "shard", "at", "base")
+
+
+def ids_at(shards: DataFrame, places: DataFrame) -> DataFrame:
+    """place, id: the ids at the places (a column of that name, from 0) of all
+    documents laid end to end; places beyond the end give no row, and places
+    that repeat one each. A place meets the shards of its part of the sequence
+    by their bases: places are dealt to buckets as long as the longest shard."""
+    bases = materialize(shard_bases(shards).join(shards.select("part", "shard", "n_tokens"), ["part", "shard"]), "shard-bases")
+    width = bases.agg(F.max("n_tokens")).first()[0]
+    if width is None:
+        return places.select("place", F.lit(0).alias("id")).limit(0)
+    bucket = lambda c: F.floor(F.col(c) / width) if isinstance(c, str) else F.floor(c / width)
+    covers = bases.withColumn("bucket", F.explode(F.sequence(bucket("base"), bucket(F.col("base") + F.col("n_tokens") - 1))))
+    wanted = places.select("place", bucket("place").alias("bucket")).join(covers, "bucket")
+    inside = wanted.filter("place >= base and place < base + n_tokens").select("part", "shard", (F.col("place") - F.col("base")).alias("at"))
+    # distinct places by shard, so that a shard's file meets each of them once
+    lists = inside.distinct().groupBy("part", "shard").agg(F.collect_list("at").alias("ats"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, shard, file, ats in zip(*(c.to_pylist() for c in batch.columns)):
+                matrix = WaveletMatrix(file)
+                columns = [[part] * len(ats), [shard] * len(ats), ats, [matrix.access(i) for i in ats]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["part", "shard", "at", "id"])
+
+    asked = shards.join(lists, ["part", "shard"]).select("part", "shard", "file", "ats")
+    found = _placed(asked.mapInArrow(read, "part int, shard int, at long, id long"), shards)
+    return places.select("place").join(found, "place").select("place", "id")
+
+
+def _looked_up(shards: DataFrame, symbols: list[int], places: bool) -> DataFrame:
+    """part, shard, id, and n or the places in the shard, of each symbol."""
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, shard, file in zip(*(c.to_pylist() for c in batch.columns)):
+                matrix = WaveletMatrix(file)
+                for s in dict.fromkeys(symbols):
+                    found = matrix.occurrences(s) if places else [matrix.count(s)]
+                    columns = [[part] * len(found), [shard] * len(found), [s] * len(found), found]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "shard", "id", "at"])
+
+    return shards.select("part", "shard", "file").mapInArrow(look, "part int, shard int, id long, at long")
+
+
+def counts(shards: DataFrame, symbols: list[int]) -> DataFrame:
+    """id, n: how often each id occurs in all documents."""
+    return _looked_up(shards, symbols, False).groupBy("id").agg(F.sum("at").alias("n"))
+
+
+def occurrences(shards: DataFrame, symbols: list[int]) -> DataFrame:
+    """id, doc_id, offset, place: every occurrence of the ids, with its place in
+    its document and among the ids of all."""
+    found = _looked_up(shards, symbols, True)
+
+    def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, shard, doc_ids, starts, ids, ats in zip(*(c.to_pylist() for c in batch.columns)):
+                begins = np.array(starts, np.int64)
+                own = np.searchsorted(begins, np.array(ats, np.int64), "right") - 1
+                n = len(ats)
+                columns = [[part] * n, [shard] * n, ids, [doc_ids[i] for i in own], np.array(ats, np.int64) - begins[own], ats]
+                kinds = [pa.int32(), pa.int32()] + [pa.int64()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "shard", "id", "doc_id", "offset", "at"])
+
+    # of one shard, so no more than it has ids
+    lists = found.groupBy("part", "shard").agg(F.collect_list("id").alias("ids"), F.collect_list("at").alias("ats"))
+    rows = shards.join(lists, ["part", "shard"]).select("part", "shard", "doc_ids", "starts", "ids", "ats")
+    return _placed(rows.mapInArrow(owners, "part int, shard int, id long, doc_id long, offset long, at long"), shards)

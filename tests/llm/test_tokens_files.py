@@ -52,6 +52,27 @@ def test_shards_round_trip(spark, hard, empty):
     assert wavelet.read_documents(wavelet.write_shards(empty)).count() == 0
 
 
+def test_shards_stay_and_are_looked_up(spark, hard, tmp_path):
+    path = (tmp_path / "tokens").as_uri()
+    shards = wavelet.write_shards(hard, path, shard_tokens=2000)
+    assert shards.count() > 3
+    again = wavelet.open_shards(spark, path)
+    docs = sorted(rows_of(hard), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    ids, owner, offset = [], [], []
+    for doc_id, text in docs:
+        own = [*plain_ids(text or "").tolist(), 0]
+        ids += own
+        owner += [doc_id] * len(own)
+        offset += range(len(own))
+    some = [0, 3, 3, len(ids) - 1, len(ids), *range(100, len(ids), 997)]
+    got = wavelet.ids_at(again, spark.createDataFrame([(p,) for p in some], "place long")).collect()
+    assert sorted(map(tuple, got)) == sorted((p, ids[p]) for p in some if p < len(ids))
+    symbols = [0, ids[50], ids[50], 49_999]
+    assert {r.id: r.n for r in wavelet.counts(again, symbols).collect()} == {s: ids.count(s) for s in symbols}
+    found = sorted(((r.id, r.place, r.doc_id, r.offset) for r in wavelet.occurrences(again, symbols).collect()), key=str)
+    assert found == sorted(((x, i, owner[i], offset[i]) for i, x in enumerate(ids) if x in symbols), key=str)
+
+
 def check_packing(rows, docs, capacity):
     by_seq, by_doc = {}, {}
     for r in rows:

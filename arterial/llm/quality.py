@@ -196,14 +196,16 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
 
 
 def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Network:
-    """Learn from at most ``per_class`` rows of each label, those with the
-    smallest hash of doc_id, of texts of at most SAMPLE_CHARS characters."""
+    """Learn from at most ``per_class`` documents of each label, those with the
+    smallest hash of doc_id, of texts of at most SAMPLE_CHARS characters. Of
+    rows that repeat a doc_id, the first text in order teaches; null is empty."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).select("doc_id", F.col(column).alias("label")).dropDuplicates(["doc_id"])
     few = [known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     chosen = few[0].unionByName(few[1])
     # at most 2 * per_class ids are broadcast, and as many texts come back
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
-    found = sorted((r.doc_id, r.text or "", r.label) for r in rows.limit(4 * per_class).collect())
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    found = sorted((r.doc_id, r.text, r.label) for r in one.collect())
     return train([t for _, t, _ in found], [y for _, _, y in found])
 
 

@@ -9,17 +9,23 @@ is removed.
    anchor make a segment, and one row stands for all of them.
 2. Confirmation. An anchor that occurs once confirms nothing. If all segments
    of an anchor are equal, all their windows recur. Else one example of each
-   different segment is taken apart into windows, and these are counted.
-3. Automata. Recurring windows that overlap make a passage. For each shard of
-   documents an Aho-Corasick automaton is compiled from its passages, word by
-   word, and all documents of the shard are streamed through it; every word of
-   every occurrence is removed.
-
-Step 2 compares hashes of 64 bits, of windows within an anchor of 64 bits.
-
-Null text has no words; a text shorter than a window keeps all its words. Rows
-that repeat a doc_id are documents of their own, so repeated rows remove each
-other's words. A null doc_id is an id like others.
+   different segment is taken apart into windows, and these are counted. Runs
+   of recurring windows are passages, written with their words: one table of
+   the distinct passages of the corpus.
+3. Automata. Documents are dealt to shards of bounded bytes. A shard gets the
+   passages that can occur in it, those of a segment that some document of it
+   has, each once however often it occurs there. An Aho-Corasick automaton is
+   compiled from them, word by word, and all documents of the shard are
+   streamed through it whole. What it finds is removed; where passages occur is
+   known from nothing else. Sending every document through every passage of the
+   corpus would find the same and grow with the square of the corpus.
+
+Step 2 compares hashes of 64 bits, of windows within an anchor of 64 bits; step
+3 compares words.
+
+Null text has no words; a text shorter than a window keeps all its words. Every
+row is a document of its own, so repeated rows remove each other's words. A
+null doc_id is an id like others. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arterial.llm.common import discard, materialize, slices
+from arterial.llm.common import discard, finished, materialize, numbered, slices
 
 #: Words of a window, and of the grams that anchor it.
 WINDOW, GRAM = 35, 8
@@ -91,10 +97,10 @@ def segments(lengths: list[int], hashes: np.ndarray, window: int, gram: int) ->
     if len(hashes) < window:
         return empty, empty, empty, empty, empty, empty.astype(bool)
     grams = np.zeros(len(hashes) - gram + 1, np.uint64)
-    factor = _ODD
+    factor = 1
     for j in range(gram):
-        grams += hashes[j : len(grams) + j] * factor
-        factor = factor * _ODD
+        factor = factor * int(_ODD) % (1 << 64)
+        grams += hashes[j : len(grams) + j] * np.uint64(factor)
     grams = _mixed(grams)
     width = window - gram + 1
     least = _sliding(grams, width, np.minimum)
@@ -130,83 +136,99 @@ def segments(lengths: list[int], hashes: np.ndarray, window: int, gram: int) ->
     return text[lo], lo - base, hi - base, anchor.view(np.int64), seg, near[at]
 
 
-OCCURRENCES = "doc_id long, tag int, lo int, hi int, anchor long, seg long, self boolean"
+OCCURRENCES = "row long, lo int, hi int, anchor long, seg long, self boolean"
 
 
-def _occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
+def _occurrences(rows: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             split = [words_of(t) for t in batch.column(1).to_pylist()]
             hashes = hashes_of([w for words in split for w in words])
             text, lo, hi, anchor, seg, self = segments([len(w) for w in split], hashes, window, gram)
-            index = pa.array(text, pa.int64())
-            columns = [batch.column(0).take(index), batch.column(2).take(index), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(anchor), pa.array(seg), pa.array(self)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "lo", "hi", "anchor", "seg", "self"])
+            columns = [batch.column(0).take(pa.array(text, pa.int64())), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(anchor), pa.array(seg), pa.array(self)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "lo", "hi", "anchor", "seg", "self"])
 
-    return docs.select("doc_id", "text", F.hash("text").alias("tag")).mapInArrow(run, OCCURRENCES)
+    return rows.select("row", "text").mapInArrow(run, OCCURRENCES)
 
 
-def _windows(examples: DataFrame, window: int) -> DataFrame:
-    """anchor, seg, place, hash, n of each window of the example segments."""
+def _examples(texts: DataFrame, window: int) -> DataFrame:
+    """anchor, seg, n, whole, words of each segment of which a text is the
+    example; the words are joined by a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for text, segs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                prefix = Prefix(hashes_of(words_of(text)))
-                sizes = np.array([s["hi"] - s["lo"] + 1 for s in segs], np.int64)
-                place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                begin = np.repeat([s["lo"] for s in segs], sizes) + place
-                each = [np.repeat(np.array([s[k] for s in segs], np.int64), sizes) for k in ("anchor", "seg", "n")]
-                columns = [each[0], each[1], place.astype(np.int32), prefix.stretch(begin, begin + window), each[2]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "seg", "place", "hash", "n"])
+                words = words_of(text)
+                columns = [pa.array([s[k] for s in segs]) for k in ("anchor", "seg", "n", "whole")]
+                columns.append(pa.array([b" ".join(words[s["lo"] : s["hi"] + window]) for s in segs], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "seg", "n", "whole", "words"])
 
-    return examples.select("text", "segs").mapInArrow(run, "anchor long, seg long, place int, hash long, n long")
+    return texts.select("text", "segs").mapInArrow(run, "anchor long, seg long, n long, whole boolean, words binary")
 
 
-def recurring(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, tag, runs: word ranges that recurring windows cover, for the
-    documents that have any. tag tells rows of one doc_id apart by text."""
-    found = materialize(_occurrences(docs, window, gram), "segments")
+def _windows(examples: DataFrame, window: int) -> DataFrame:
+    """anchor, seg, place, hash, n of each window of the example segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "words"):
+            split = [w.split() for w in batch.column(3).to_pylist()]
+            lengths = np.array([len(w) for w in split], np.int64)
+            sizes = lengths - window + 1
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            begin = np.repeat(np.cumsum(lengths) - lengths, sizes) + place
+            hashes = Prefix(hashes_of([w for words in split for w in words])).stretch(begin, begin + window)
+            owner = pa.array(np.repeat(np.arange(len(split)), sizes))
+            columns = [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(place, pa.int32()), pa.array(hashes), batch.column(2).take(owner)]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "seg", "place", "hash", "n"])
+
+    return examples.select("anchor", "seg", "n", "words").mapInArrow(run, "anchor long, seg long, place int, hash long, n long")
+
+
+def _runs(partly: DataFrame, window: int) -> DataFrame:
+    """anchor, seg, words of each run of recurring windows in a segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "words"):
+            out: tuple[list, list, list] = ([], [], [])
+            for anchor, seg, joined, places in zip(*(c.to_pylist() for c in batch.columns)):
+                words, at = joined.split(), np.sort(np.array(places, np.int64))
+                ends = np.append(np.flatnonzero(np.diff(at) > 1), len(at) - 1)
+                for b, e in zip(at[np.append(0, ends[:-1] + 1)].tolist(), at[ends].tolist()):
+                    for column, value in zip(out, (anchor, seg, b" ".join(words[b : e + window]))):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["anchor", "seg", "words"])
+
+    return partly.select("anchor", "seg", "words", "places").mapInArrow(run, "anchor long, seg long, words binary")
+
+
+def recurring(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """The recurring passages of rows (row, text), anchor, seg, words, one of
+    each segment that differs; and row, anchor, seg of the rows' segments of
+    recurring anchors. Both are written."""
+    found = materialize(_occurrences(rows, window, gram), "segments")
     anchors = found.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.min("seg").alias("least"), F.max("seg").alias("most"), F.max("self").alias("self")
     )
     again = materialize(anchors.filter("n > 1 or self").select("anchor", F.expr("n > 1 and least = most").alias("whole")), "recurring-anchors")
-    some = materialize(found.join(again, "anchor"), "recurring-segments")
-    mixed = some.filter("not whole")
-    # of each different segment one example is taken apart
-    example = F.min(F.struct("doc_id", "tag", "lo", "hi")).alias("e")
-    segs = mixed.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"), example)
-    by_doc = segs.select("e.doc_id", "e.tag", F.struct("anchor", "seg", "n", "e.lo", "e.hi").alias("s")).groupBy("doc_id", "tag").agg(F.collect_list("s").alias("segs"))
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text"), F.hash("text").alias("_tag"))
-    same = texts["_id"].eqNullSafe(by_doc["doc_id"]) & (texts["_tag"] == by_doc["tag"])
-    windows = materialize(_windows(texts.join(by_doc, same), window), "windows")
+    some = materialize(found.join(again, "anchor").select("row", "lo", "hi", "anchor", "seg", "whole"), "recurring-segments")
+    discard(found, again)
+    # of each different segment one example is taken
+    segs = some.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"), F.max("whole").alias("whole"), F.min(F.struct("row", "lo", "hi")).alias("e"))
+    by_row = segs.groupBy("e.row").agg(F.collect_list(F.struct("anchor", "seg", "n", "whole", "e.lo", "e.hi")).alias("segs"))
+    examples = materialize(_examples(rows.select("row", "text").join(by_row, "row"), window), "examples")
+    mixed = examples.filter("not whole")
+    windows = materialize(_windows(mixed, window), "windows")
     counted = windows.groupBy("anchor", "hash").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", "hash")
     # written: a join with an aggregate in its own stage could not split a common passage's rows
     counted = materialize(counted, "counted-windows")
     places = windows.join(counted, ["anchor", "hash"]).groupBy("anchor", "seg").agg(F.collect_set("place").alias("places"))
     places = materialize(places, "recurring-places")
-    partly = mixed.join(places, ["anchor", "seg"]).select("doc_id", "tag", "lo", "hi", "places")
-    wholly = some.filter("whole").select("doc_id", "tag", "lo", "hi", F.lit(None).cast("array<int>").alias("places"))
-    runs = wholly.unionByName(partly).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "hi", "places")).alias("runs"))
-    out = materialize(runs, "recurring-runs")
-    for done in (found, again, some, windows, counted, places):
-        discard(done)
-    return out
-
-
-def _covered(n: int, runs: list[dict], window: int) -> list[tuple[int, int]]:
-    """Word ranges that the recurring windows of a text cover, merged."""
-    change = np.zeros(n + 1, np.int64)
-    for r in runs:
-        if r["places"] is None:
-            change[r["lo"]] += 1
-            change[r["hi"] + window] -= 1
-        else:
-            at = np.array(r["places"], np.int64) + r["lo"]
-            np.add.at(change, at, 1)
-            np.add.at(change, at + window, -1)
-    edges = np.flatnonzero(np.diff((np.cumsum(change) > 0).astype(np.int8), prepend=0, append=0))
-    return [(int(b), int(e)) for b, e in edges.reshape(-1, 2)]
+    discard(windows, counted)
+    whole = examples.filter("whole").select("anchor", "seg", "words")
+    passages = materialize(whole.unionByName(_runs(mixed.join(places, ["anchor", "seg"]), window)), "passages")
+    discard(examples, places)
+    return passages, some
 
 
 class Automaton:
@@ -237,44 +259,92 @@ class Automaton:
 
 #: Passages' words in one automaton; the letters of a shard must stay below the code points.
 SHARD_WORDS = 400_000
-
-
-def remove_recurring(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words kept, joined by a space)."""
-    runs = recurring(docs, window, gram)
-    texts = docs.select("doc_id", "text", F.hash("text").alias("_tag"))
-    runs = runs.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_own"), "runs")
-    joined = texts.join(runs, texts["doc_id"].eqNullSafe(runs["_id"]) & (texts["_tag"] == runs["_own"]), "left").select("doc_id", "text", "runs")
+#: Bytes of documents in a shard, about.
+SHARD_BYTES = 4 << 20
+
+
+def _covered(split: list[list[bytes]], passages: list[bytes]) -> list[np.ndarray]:
+    """Which words of the texts an occurrence of any passage covers. As many
+    automata as the passages need are compiled one after another."""
+    gone = [np.zeros(len(words), bool) for words in split]
+    part: list[list[bytes]] = []
+    size = 0
+    for i, passage in enumerate(passages):
+        part.append(passage.split())
+        size += len(part[-1])
+        if size >= SHARD_WORDS or i == len(passages) - 1:
+            machine = Automaton(part)
+            for words, own in zip(split, gone):
+                own |= machine.covered(words)
+            part, size = [], 0
+    return gone
+
+
+def _removed(shards: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept from rows (shard, words, doc_id, text)
+    sorted by shard; a shard's passages, with words, come before its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            split = [words_of(t) for t in batch.column(1).to_pylist()]
-            passages = [words[b:e] for words, r in zip(split, batch.column(2).to_pylist()) if r for b, e in _covered(len(words), r, window)]
+        shard: int | None = None
+        passages: dict[bytes, None] = {}
+        ids: list[int | None] = []
+        texts: list[str | None] = []
+        held = 0
+
+        def done() -> pa.RecordBatch:
+            split = [words_of(t) for t in texts]
             rows = []
-            machines, part, size = [], [], 0
-            for p in passages:
-                part.append(p)
-                size += len(p)
-                if size >= SHARD_WORDS:
-                    machines.append(Automaton(part))
-                    part, size = [], 0
-            machines.append(Automaton(part))
-            for words in split:
-                gone = machines[0].covered(words)
-                for m in machines[1:]:
-                    gone |= m.covered(words)
+            for words, gone in zip(split, _covered(split, list(passages))):
                 removed = int(gone.sum())
                 kept = [words[i] for i in np.flatnonzero(~gone).tolist()] if removed else words
                 rows.append((len(words), removed, b" ".join(kept)))
             n, removed, kept = zip(*rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
+            columns = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
 
-    out = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
-    return out.withColumn("kept", F.col("kept").cast("string"))
+        for batch in slices(batches):
+            for own, words, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                # a shard of more than its share, as by a very long text, goes in parts
+                if ids and (own != shard or held > 2 * SHARD_BYTES):
+                    yield done()
+                    ids, texts, held = [], [], 0
+                if own != shard:
+                    shard, passages = own, {}
+                if words is not None:
+                    passages[words] = None
+                else:
+                    ids.append(doc_id)
+                    texts.append(text)
+                    held += len(text or "")
+        if ids:
+            yield done()
+
+    return shards.select("shard", "words", "doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+
+
+def _streamed(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, n_words, n_removed, kept, and the tables that this is read from."""
+    rows, _ = numbered(docs.select("doc_id", "text"))
+    passages, some = recurring(rows, window, gram)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("row"), F.lit(1 + size // SHARD_BYTES)).alias("shard")
+    # written, so that the shards of a common passage can be split among tasks
+    asked = materialize(some.select(shard, "anchor", "seg").distinct(), "asked-segments")
+    discard(some)
+    none = lambda kind: F.lit(None).cast(kind)
+    sent = asked.join(passages, ["anchor", "seg"]).select("shard", "words", none("long").alias("doc_id"), none("string").alias("text"))
+    read = rows.select(shard, none("binary").alias("words"), "doc_id", "text")
+    dealt = sent.unionByName(read).repartition("shard").sortWithinPartitions("shard", F.col("words").isNull())
+    return _removed(dealt), [rows, passages, asked]
+
+
+def remove_recurring(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words kept, joined by a space)."""
+    out, tables = _streamed(docs, window, gram)
+    return finished(out.withColumn("kept", F.col("kept").cast("string")), "kept-words", *tables)
 
 
 def kept_digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    out = remove_recurring(docs, window, gram)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
-
+    out, tables = _streamed(docs, window, gram)
+    return finished(out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "kept-digests", *tables)

@@ -28,8 +28,11 @@ def brute(docs, window):
     return out
 
 
-@pytest.mark.parametrize("window, gram", [(35, 8), (6, 3)])
-def test_substring_dedup(spark, hard, window, gram):
+@pytest.mark.parametrize("window, gram, shard_bytes, shard_words", [(35, 8, 4 << 20, 400_000), (6, 3, 2_000, 300)])
+def test_substring_dedup(spark, hard, monkeypatch, window, gram, shard_bytes, shard_words):
+    """One shard and automaton, and many."""
+    monkeypatch.setattr(substring, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(substring, "SHARD_WORDS", shard_words)
     rng = np.random.default_rng(4)
     pool = [[f"w{x}" for x in rng.integers(0, 5000, 60)] for _ in range(6)]
     rows = []
@@ -46,6 +49,20 @@ def test_substring_dedup(spark, hard, window, gram):
     assert sum(k[2] for k in want) > 100
 
 
+def test_words_go_only_by_the_automaton(spark, monkeypatch):
+    """Without what the automaton finds nothing is removed; with a passage of
+    its own, every occurrence of that."""
+    text = " ".join(f"w{i}" for i in range(90))
+    docs = spark.createDataFrame([(1, f"{text} a b"), (2, f"c {text}"), (3, "c d")], "doc_id long, text string")
+    split = [substring.words_of(f"{text} a b"), substring.words_of("c d a b")]
+    assert [g.sum() for g in substring._covered(split, [])] == [0, 0]
+    assert [np.flatnonzero(g).tolist() for g in substring._covered(split, [b"a b", b"w3 w4"])] == [[3, 4, 90, 91], [2, 3]]
+    passages, some = substring.recurring(substring.numbered(docs)[0])
+    found = {bytes(r["words"]).decode() for r in passages.collect()}
+    assert found and all(p in text and len(p.split()) >= 35 for p in found) and "lo" in some.columns
+    assert {r.doc_id: r.n_removed for r in substring.kept_digest(docs).collect()} == {1: 90, 2: 90, 3: 0}
+
+
 def test_nothing(empty):
     assert substring.kept_digest(empty).count() == 0
 

@@ -1,162 +1,133 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance.
 
-A page's whole text is cut at tags and line feeds into segments. A segment's
-vector has a weight tf * idf for each of its words, where idf is
-1 + ln((1 + N) / (1 + df)) over all segments of all pages for the words of the
-templates, and 1 + ln(1 + N) for any other word (each occurrence of such a word
-is a dimension of its own). A page declares the template of its most similar
-segment, if that cosine reaches the threshold. A notice that inline markup or
-line feeds cut into several segments is found by joins: where no segment of a
-page reaches the threshold, runs of at most SPAN neighbouring segments between
-two block tags are scored as one, with the same weights.
+A page's words are the runs of ASCII letters and digits, in lower case, of its
+whole html without tags and entities; so line feeds, comment marks and markup
+inside a notice part nothing. Templates are headings and notices, whole texts
+of short licences and the openings of long ones. A template is compared with
+the page's windows of as many words: each that has the template's key word in
+the template's own place for it (clipped at the page's ends). Vectors weigh a
+word by tf * idf, idf = 1 + ln((1 + N) / (1 + df)), with N pages of which df
+have the word, over all pages and for every word, in a template or not. A page
+declares the template of its most similar window if that cosine reaches the
+threshold; ties go to the first licence by name.
 
 A directory's licence is that of its licence files (pages named license,
 licence, copying or notice), else the one that most of its own pages declare;
-ties go to the first name. A page that declares nothing inherits from its
-nearest ancestor directory that has a licence.
+ties go to the first name. A url that ends in a slash or has only a host is the
+index page of that very directory. A page that declares nothing inherits from
+its own or its nearest ancestor directory that has a licence.
 
-Everything is DataFrame operations. A segment whose words of high idf are not
-in a template cannot reach the threshold; such segments are left early by a
-bound on the rest of the vector, not by sampling.
+Everything is DataFrame operations. Pages are cut into words once, and written.
+Windows meet the weights of template words first, and words beyond them with
+the least weight there is: those that cannot reach the threshold even so need
+no look-up of other words.
 
 Null and empty texts declare nothing. A null url has no path: the page neither
-inherits nor gives. Rows that repeat a page_id are scanned each for itself. An
-empty table gives an empty result.
+inherits nor gives. Every row is a page of its own, repeated ones too. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-import functools
 import math
-import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arterial.llm.common import discard, materialize
-
-#: Headings and notices of common licences.
-TEMPLATES = {
-    "all-rights-reserved": "All rights reserved.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
-    "cc-by-4.0": "Licensed under CC BY 4.0.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "mit": "Released under the MIT License.",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
-THRESHOLD = 0.8
-
-#: Tags inside a sentence; any other tag ends a block, which joins do not cross.
-INLINE = "a|abbr|acronym|b|bdi|bdo|big|br|cite|code|data|dfn|em|font|i|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|time|tt|u|var|wbr"
-_INLINE_CUT = rf"<(?i:/?(?:{INLINE}))(?:[\s/][^>]*)?>|\n"
-_BLOCK_CUT = rf"<(?!(?i:/?(?:{INLINE}))(?:[\s/][^>]*)?>)[^>]*>"
-#: Most segments of a join: the longest template with each word a segment of its
-#: own, and as many other words as the threshold can bear at equal weights.
-SPAN = math.ceil(max(len(re.findall("[a-z0-9]+", t.lower())) for t in TEMPLATES.values()) / THRESHOLD**2)
+from arterial.llm.common import discard, finished, materialize
+from arterial.llm.templates import TEMPLATES
 
-
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+THRESHOLD = 0.8
+#: What parts words: tags, entities, other signs. (A < that opens no tag is a sign.)
+SEPARATOR = r"</?[a-z][^<>]*>|&#?[a-z0-9]{1,10};|[^a-z0-9<&]+|[<&]"
+#: Words of a page among which keys are looked for at a time.
+STRETCH = 2_000
+LONGEST = max(len(t.words) for t in TEMPLATES)
+KEYS = sorted({t.key for t in TEMPLATES})
+VOCABULARY = sorted({w for t in TEMPLATES for w in t.words})
 
 
-def _template_words() -> dict[str, list[str]]:
-    return {name: [w for w in re.split("[^a-z0-9]+", t.lower()) if w] for name, t in TEMPLATES.items()}
+def page_words(html: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(html, F.lit(""))), SEPARATOR), lambda w: w != "")
 
 
 def page_path(url: Column) -> Column:
-    """Host and path, without scheme, query, fragment and closing slashes."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"[?#].*$", ""), r"/+$", "")
-
-
-def segments(pages: DataFrame) -> DataFrame:
-    """page_id, url, hits (words that some template has) and others (number of
-    other words) of each segment that has a hit or not."""
-    vocabulary = F.array(*(F.lit(w) for w in sorted({w for ws in _template_words().values() for w in ws})))
-    each = pages.select("page_id", "url", F.explode(F.split(F.coalesce("html", F.lit("")), r"<[^>]*>|\n")).alias("segment"))
-    words = each.select("page_id", "url", words_of(F.col("segment")).alias("words")).filter(F.size("words") > 0)
-    hits = words.withColumn("hits", F.filter("words", lambda w: F.array_contains(vocabulary, w)))
-    return hits.select("page_id", "url", "hits", (F.size("words") - F.size("hits")).alias("others"))
-
-
-def word_weights(cut: DataFrame) -> tuple[dict[str, float], float]:
-    """idf of each template word and of any other word: as many rows as
-    templates have words come to the driver."""
+    """Host and path, without scheme, query and fragment; a lone host ends in a
+    slash."""
+    bare = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"[?#].*$", "")
+    return F.when(bare.contains("/"), bare).otherwise(F.concat(bare, F.lit("/")))
+
+
+def _idf(n: int, df: Column | int) -> Column:
+    return F.lit(1.0) + F.log((F.lit(1.0) + F.lit(n)) / (F.lit(1.0) + df))
+
+
+def windows(cut: DataFrame) -> DataFrame:
+    """row, t, start, word, tf of the windows of pages (row, words) that are
+    laid against the templates by their keys."""
+    spark = cut.sparkSession
+    some = cut.filter(F.arrays_overlap("words", F.array(*map(F.lit, KEYS)))).select("row", "words")
+    # stretches of bounded length, with the words around them that windows reach into
+    first = F.sequence(F.lit(0), F.size("words") - 1, F.lit(STRETCH))
+    begin = lambda at: F.greatest(at - LONGEST, F.lit(0))
+    parts = some.select(
+        "row", F.explode(F.transform(first, lambda at: F.struct(at.alias("at"), begin(at).alias("begin"), F.slice("words", begin(at) + 1, at - begin(at) + F.lit(STRETCH + LONGEST)).alias("words")))).alias("p")
+    ).select("row", "p.*")
+    marked = F.transform("words", lambda w, i: F.when(w.isin(KEYS), F.struct(i.alias("i"), w.alias("key"))))
+    own = lambda m: m.isNotNull() & (m["i"] + F.col("begin") >= F.col("at")) & (m["i"] + F.col("begin") < F.col("at") + STRETCH)
+    hits = parts.select("row", "begin", "words", F.explode(F.filter(marked, own)).alias("hit")).select("row", "begin", "words", "hit.i", "hit.key")
+    # one row a template
+    plans = F.broadcast(spark.createDataFrame([(n, t.key, t.place, len(t.words)) for n, t in enumerate(TEMPLATES)], "t int, key string, place int, length int"))
+    laid = hits.join(plans, "key").withColumn("from", F.col("i") - F.col("place"))
+    span = F.slice("words", F.greatest("from", F.lit(0)) + 1, F.col("length") + F.least("from", F.lit(0)))
+    each = laid.select("row", "t", (F.col("from") + F.col("begin")).alias("start"), F.explode(span).alias("word"))
+    return each.groupBy("row", "t", "start", "word").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def declared(pages: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, list[DataFrame]]:
+    """row, page_id, url, license, score of every row of pages: the template of
+    the most similar window, or nulls; and the tables that this is read from."""
+    spark = pages.sparkSession
+    cut = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", page_words(F.col("html")).alias("words"))
+    cut = materialize(cut, "page-words")
     n = cut.count()
-    df = cut.select(F.explode(F.array_distinct("hits")).alias("word")).groupBy("word").count()
-    seen = {r["word"]: r["count"] for r in df.collect()}
-    idf = lambda w: 1 + math.log((1 + n) / (1 + seen.get(w, 0)))
-    return {w: idf(w) for w in sorted({w for ws in _template_words().values() for w in ws})}, 1 + math.log(1 + n)
-
-
-def rare_words(weights: dict[str, float], threshold: float) -> list[str]:
-    """Template words of which a text must have one to reach the threshold: all
-    others together are too small a part of every template's length. Short words
-    are left out first, for long ones tell more pages apart."""
-    vectors = [{w: (ws.count(w) * weights[w]) ** 2 for w in set(ws)} for ws in _template_words().values()]
-    common: set[str] = set()
-    for w in sorted(weights, key=lambda w: (min(len(w), 3), weights[w], w)):
-        # a hair below the threshold, for scores are rounded
-        if all(sum(v.get(x, 0.0) for x in common | {w}) / sum(v.values()) < (threshold - 1e-3) ** 2 for v in vectors):
-            common.add(w)
-    return sorted(set(weights) - common)
-
-
-def joins(pages: DataFrame, rare: list[str]) -> DataFrame:
-    """page_id, url, hits, others of runs of 2 to SPAN neighbouring segments of
-    a block. A run that begins or ends without a hit is less similar than the
-    run without that end, and one without a rare word is never similar enough:
-    these are not made."""
-    vocabulary = F.array(*(F.lit(w) for w in sorted({w for ws in _template_words().values() for w in ws})))
-    has_rare = rf"(?<![a-z0-9])(?:{'|'.join(rare)})(?![a-z0-9])"
-    # lowered once and tested before any cut; an outer explode, since Spark would cut every page to infer a filter for a plain one
-    holds = F.element_at(F.transform(F.array(F.lower("html")), lambda h: functools.reduce(lambda a, b: a | b, (h.contains(w) for w in rare))), 1)
-    each = pages.select("page_id", "url", F.explode_outer(F.when(holds, F.split("html", _BLOCK_CUT))).alias("block"))
-    blocks = each.filter(F.col("block").rlike(_INLINE_CUT) & F.lower("block").rlike(has_rare))
-    pieces = blocks.select("page_id", "url", F.filter(F.transform(F.split("block", _INLINE_CUT), words_of), lambda ws: F.size(ws) > 0).alias("pieces")).filter(F.size("pieces") > 1)
-    hit = F.transform("pieces", lambda ws: F.filter(ws, lambda w: F.array_contains(vocabulary, w)))
-    counted = pieces.select("page_id", "url", F.transform(F.arrays_zip(F.col("pieces").alias("words"), hit.alias("hits")), lambda p: F.struct(p["hits"].alias("hits"), (F.size(p["words"]) - F.size(p["hits"])).alias("others"))).alias("pieces"))
-    first = F.filter(F.sequence(F.lit(1), F.size("pieces") - 1), lambda i: F.size(F.element_at("pieces", i)["hits"]) > 0)
-    runs = counted.select("page_id", "url", F.explode(F.transform(first, lambda i: F.slice("pieces", i, SPAN))).alias("run"))
-    last = F.filter(F.sequence(F.lit(2), F.size("run")), lambda k: F.size(F.element_at("run", k)["hits"]) > 0)
-    part = runs.filter(F.size("run") > 1).select("page_id", "url", F.explode(F.transform(last, lambda k: F.slice("run", 1, k))).alias("run"))
-    others = F.aggregate("run", F.lit(0), lambda a, p: a + p["others"])
-    return part.select("page_id", "url", F.flatten(F.transform("run", lambda p: p["hits"])).alias("hits"), others.alias("others"))
-
-
-def declared(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """page_id, url, license, score: the best segment's template, else the best
-    join's, or nulls."""
-    cut = segments(pages)
-    weights, other = word_weights(cut)
-    idf = F.create_map(*(x for w, v in weights.items() for x in (F.lit(w), F.lit(v))))
-    square = lambda w: F.pow(F.size(F.filter("hits", lambda x: x == w)) * idf[w], 2)
-    norm = F.sqrt(F.aggregate(F.array_distinct("hits"), F.lit(0.0), lambda a, w: a + square(w)) + F.col("others") * other * other)
-    scored = []
-    # the norm is at least that of the other words, and a hit counts at most its own weight: an upper bound without sums
-    most = max(weights.values())
-    every = cut.withColumn("joined", F.lit(False)).unionByName(joins(pages, rare_words(weights, threshold)).withColumn("joined", F.lit(True)))
-    able = every.filter((F.size("hits") > 0) & (F.sqrt(F.col("others").cast("double")) * other * threshold <= F.size("hits") * most))
-    for name, words in sorted(_template_words().items()):
-        tf = {w: words.count(w) for w in set(words)}
-        length = math.sqrt(sum((n * weights[w]) ** 2 for w, n in tf.items()))
-        own = F.create_map(*(x for w, n in sorted(tf.items()) for x in (F.lit(w), F.lit(n * weights[w] * weights[w] / length))))
-        dot = F.aggregate("hits", F.lit(0.0), lambda a, w: a + F.coalesce(own[w], F.lit(0.0)))
-        scored.append(F.struct(F.round(dot / F.col("norm"), 6).alias("score"), F.lit(name).alias("license")))
-    best = able.withColumn("norm", norm).select("page_id", "url", "joined", F.explode(F.array(*scored)).alias("s")).filter(F.col("s.score") >= threshold)
-    # of equal scores the first name counts; negative scores order both by one minimum
-    top = best.groupBy("page_id", "url").agg(F.min(F.struct("joined", (-F.col("s.score")).alias("minus"), F.col("s.license").alias("license"))).alias("b"))
-    found = top.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"))
-    both = pages.select("page_id", "url")
-    return both.join(found, both["page_id"].eqNullSafe(found["_id"]) & both["url"].eqNullSafe(found["_url"]), "left").select("page_id", "url", "license", "score")
+    df = materialize(cut.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")), "page-frequencies")
+    # as many rows as templates have words come to the driver
+    seen = {r.word: r.df for r in df.filter(F.col("word").isin(VOCABULARY)).collect()}
+    idf = {w: 1 + math.log((1 + n) / (1 + seen.get(w, 0))) for w in VOCABULARY}
+    weight = [{w: k * idf[w] for w, k in Counter(t.words).items()} for t in TEMPLATES]
+    length = [math.sqrt(sum(x * x for x in w.values())) for w in weight]
+    known = F.broadcast(spark.createDataFrame(list(idf.items()), "word string, idf double"))
+    # a template's weights over its length: dot products with them are cosines but for the window's length
+    unit = F.broadcast(spark.createDataFrame([(i, w, x / length[i]) for i, own in enumerate(weight) for w, x in own.items()], "t int, word string, unit double"))
+
+    laid = materialize(windows(cut), "windows")
+    weighed = laid.join(known, "word", "left").join(unit, ["t", "word"], "left")
+    own = F.col("tf") * F.col("idf")
+    sums = weighed.groupBy("row", "t", "start").agg(
+        F.sum(F.coalesce(own * F.col("unit"), F.lit(0.0))).alias("dot"),
+        F.sum(F.coalesce(own * own, F.lit(0.0))).alias("square"),
+        F.sum(F.when(F.col("idf").isNull(), F.col("tf")).otherwise(0)).alias("others"),
+    )
+    # a word weighs 1 at least; a hair below the threshold, for scores are rounded
+    able = materialize(sums.filter(F.col("dot") >= (threshold - 1e-5) * F.sqrt(F.col("square") + F.col("others"))), "able-windows")
+    beyond = laid.join(known, "word", "left_anti").join(able.filter("others > 0").select("row", "t", "start"), ["row", "t", "start"])
+    more = beyond.join(df, "word").groupBy("row", "t", "start").agg(F.sum(F.pow(F.col("tf") * _idf(n, F.col("df")), 2)).alias("rest"))
+    score = F.round(F.col("dot") / F.sqrt(F.col("square") + F.coalesce("rest", F.lit(0.0))), 6)
+    scored = able.join(more, ["row", "t", "start"], "left").select("row", "t", score.alias("score")).filter(F.col("score") >= threshold)
+    names = F.broadcast(spark.createDataFrame([(i, t.license) for i, t in enumerate(TEMPLATES)], "t int, license string"))
+    best = scored.join(names, "t").groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b"))
+    best = materialize(best.select("row", "b.license", (-F.col("b.minus")).alias("score")), "best-windows")
+    discard(laid, able, df)
+    return cut.select("row", "page_id", "url").join(best, "row", "left"), [cut, best]
 
 
 def directory_licenses(files: DataFrame) -> DataFrame:
     """dir, dir_license from files (path, license): licence files first, then
     most declarations, then the first name."""
     named = F.lower(F.regexp_extract("path", r"[^/]*$", 0)).rlike(r"^(licen[cs]e|copying|notice)(\.|$)")
-    each = files.filter("license is not null and path like '%/%'").select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "license", named.alias("file"))
+    each = files.filter("license is not null and path is not null").select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "license", named.alias("file"))
     votes = each.groupBy("dir", "license").agg(F.max("file").alias("file"), F.count(F.lit(1)).alias("n"))
     best = F.min(F.struct((~F.col("file")).alias("no_file"), (-F.col("n")).alias("minus"), "license")).alias("b")
     return votes.groupBy("dir").agg(best).select("dir", F.col("b.license").alias("dir_license"))
@@ -164,17 +135,17 @@ def directory_licenses(files: DataFrame) -> DataFrame:
 
 def scan(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, path, license, score, inherited, inherited_from."""
-    files = materialize(declared(pages, threshold).withColumn("path", page_path(F.col("url"))), "declared")
+    found, tables = declared(pages, threshold)
+    files = finished(found.withColumn("path", page_path(F.col("url"))), "declared", *tables)
     licences = materialize(directory_licenses(files), "directories")
     # every distinct directory looks its ancestors up once; pages then meet their own directory's answer
     home = F.regexp_replace("path", "/[^/]*$", "")
-    bare = files.filter("license is null and path like '%/%'").select(home.alias("home")).distinct()
+    bare = files.filter("license is null and path is not null").select(home.alias("home")).distinct()
     parts = F.split("home", "/")
     own = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, F.size(parts) - k), "/"))
     ways = bare.select("home", F.posexplode(own).alias("up", "dir"))
     near = ways.join(licences, "dir").groupBy("home").agg(F.min(F.struct("up", "dir", "dir_license")).alias("b"))
     answers = materialize(near.select("home", F.col("b.dir").alias("from_dir"), F.col("b.dir_license").alias("dir_license")), "inherited")
-    keyed = files.withColumn("home", F.when(F.col("license").isNull() & F.col("path").contains("/"), home))
+    keyed = files.withColumn("home", F.when(F.col("license").isNull(), home))
     out = keyed.join(answers, "home", "left").select("page_id", "path", "license", "score", F.col("dir_license").alias("inherited"), F.col("from_dir").alias("inherited_from"))
-    discard(licences)
-    return out
+    return finished(out, "license-scan", files, licences, answers)

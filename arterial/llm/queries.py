@@ -82,29 +82,30 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def op5_sql() -> str:
-    templates = ", ".join(f"('{name}', '{text}')" for name, text in license.TEMPLATES.items())
+    templates = ", ".join(f"({n}, '{t.license}', '{t.key}', {t.place}, '{' '.join(t.words)}')" for n, t in enumerate(license.TEMPLATES))
+    separator = license.SEPARATOR.replace("'", "''")
     return f"""
-WITH template(license, text) AS (VALUES {templates}),
-tword AS MATERIALIZED (SELECT license, w, count(*) AS tf FROM (SELECT license, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM template) WHERE w <> '' GROUP BY license, w),
-vocabulary AS MATERIALIZED (SELECT DISTINCT w FROM tword),
-row AS MATERIALIZED (SELECT row_number() OVER () AS r, page_id, url, html FROM pages),
-cut AS MATERIALIZED (SELECT r, row_number() OVER () AS s, segment FROM (SELECT r, unnest(regexp_split_to_array(coalesce(html, ''), '<[^>]*>|\\n')) AS segment FROM row)),
-words AS MATERIALIZED (SELECT r, s, w, count(*) AS tf FROM (SELECT r, s, unnest(regexp_split_to_array(lower(segment), '[^a-z0-9]+')) AS w FROM cut) WHERE w <> '' GROUP BY r, s, w),
-total AS MATERIALIZED (SELECT count(DISTINCT s) AS n FROM words),
-idf AS MATERIALIZED (SELECT v.w, 1 + ln((1 + n) / (1 + count(words.w))) AS idf FROM vocabulary v CROSS JOIN total LEFT JOIN words ON words.w = v.w GROUP BY v.w, n),
-norm AS MATERIALIZED (SELECT r, s, sqrt(sum(CASE WHEN idf.w IS NULL THEN tf * pow(1 + ln(1 + n), 2) ELSE pow(tf * idf, 2) END)) AS norm
-  FROM words CROSS JOIN total LEFT JOIN idf ON idf.w = words.w GROUP BY r, s),
-length AS (SELECT license, sqrt(sum(pow(tf * idf, 2))) AS length FROM tword JOIN idf USING (w) GROUP BY license),
-dot AS (SELECT words.r, words.s, t.license, sum(words.tf * t.tf * idf * idf) AS dot FROM words JOIN tword t ON t.w = words.w JOIN idf ON idf.w = words.w GROUP BY words.r, words.s, t.license),
-scored AS (SELECT dot.r, dot.license, round(dot / length / norm, 6) AS score FROM dot JOIN norm ON norm.s = dot.s AND norm.r = dot.r JOIN length USING (license)),
-top AS (SELECT r, license, score FROM scored WHERE score >= {license.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, license) = 1),
-file AS MATERIALIZED (SELECT row.r, page_id, license, score,
-    regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', ''), '/+$', '') AS path FROM row LEFT JOIN top USING (r)),
-vote AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, license, count(*) AS n,
-    bool_or(regexp_matches(lower(regexp_extract(path, '[^/]*$')), '^(licen[cs]e|copying|notice)(\\.|$)')) AS named
-  FROM file WHERE license IS NOT NULL AND path LIKE '%/%' GROUP BY 1, 2),
+WITH template(t, license, key, place, text) AS (VALUES {templates}),
+tword AS MATERIALIZED (SELECT t, w, count(*) AS tf FROM (SELECT t, unnest(string_split(text, ' ')) AS w FROM template) GROUP BY t, w),
+row AS MATERIALIZED (SELECT row_number() OVER () AS r, page_id, url, list_filter(regexp_split_to_array(lower(coalesce(html, '')), '{separator}'), lambda x: x <> '') AS words FROM pages),
+total AS MATERIALIZED (SELECT count(*) AS n FROM row),
+idf AS MATERIALIZED (SELECT w, 1 + ln((1.0 + n) / (1.0 + df)) AS idf FROM (SELECT w, count(*) AS df FROM (SELECT DISTINCT r, unnest(words) AS w FROM row) GROUP BY w), total),
+weight AS MATERIALIZED (SELECT t, w, tf * coalesce(idf, 1 + ln(1.0 + n)) AS x FROM tword CROSS JOIN total LEFT JOIN idf USING (w)),
+length AS MATERIALIZED (SELECT t, sqrt(sum(x * x)) AS length FROM weight GROUP BY t),
+place AS MATERIALIZED (SELECT r, w, i - 1 AS i FROM (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM row) WHERE w IN (SELECT key FROM template)),
+laid AS MATERIALIZED (SELECT p.r, t, i - place AS start, row.words[greatest(i - place, 0) + 1 : i - place + len(string_split(text, ' '))] AS span
+  FROM place p JOIN template ON key = w JOIN row ON row.r = p.r),
+word AS MATERIALIZED (SELECT r, t, start, w, count(*) AS tf FROM (SELECT r, t, start, unnest(span) AS w FROM laid) GROUP BY ALL),
+scored AS (SELECT word.r, word.t, start, round(sum(coalesce(word.tf * idf * x, 0)) / any_value(length) / sqrt(sum(pow(word.tf * idf, 2))), 6) AS score
+  FROM word JOIN idf USING (w) JOIN length ON length.t = word.t LEFT JOIN weight ON weight.t = word.t AND weight.w = word.w GROUP BY word.r, word.t, start),
+top AS (SELECT r, license, score FROM scored JOIN template USING (t) WHERE score >= {license.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, license) = 1),
+bare AS (SELECT r, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '') AS p FROM row),
+file AS MATERIALIZED (SELECT r, page_id, license, score, path, regexp_replace(path, '/[^/]*$', '') AS home
+  FROM row LEFT JOIN top USING (r) JOIN (SELECT r, CASE WHEN p LIKE '%/%' THEN p ELSE p || '/' END AS path FROM bare) USING (r)),
+vote AS (SELECT home AS dir, license, count(*) AS n, bool_or(regexp_matches(lower(regexp_extract(path, '[^/]*$')), '^(licen[cs]e|copying|notice)(\\.|$)')) AS named
+  FROM file WHERE license IS NOT NULL AND path IS NOT NULL GROUP BY 1, 2),
 dirs AS MATERIALIZED (SELECT dir, license FROM vote QUALIFY row_number() OVER (PARTITION BY dir ORDER BY named DESC, n DESC, license) = 1),
-near AS (SELECT f.r, d.dir, d.license FROM file f JOIN dirs d ON f.path LIKE '%/%' AND starts_with(f.path, d.dir || '/')
+near AS (SELECT f.r, d.dir, d.license FROM file f JOIN dirs d ON starts_with(f.home || '/', d.dir || '/')
   WHERE f.license IS NULL QUALIFY row_number() OVER (PARTITION BY f.r ORDER BY length(d.dir) DESC) = 1)
 SELECT page_id, path, file.license, score, near.license AS inherited, near.dir AS inherited_from FROM file LEFT JOIN near USING (r)
 """

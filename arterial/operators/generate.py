@@ -46,3 +46,18 @@ def all_distinct(frame: DataFrame, column: str, digits: int = 12) -> DataFrame:
     """scenario_id, distinct: whether a column has no value twice."""
     both = frame.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.round(column, digits)).alias("m"))
     return both.select("scenario_id", (F.col("n") == F.col("m")).alias("distinct"))
+
+
+def random_matrix(spark: SparkSession, nodes: int, least: int, most: int, seed: int = 0, scenario_id: str = "0") -> DataFrame:
+    """Demand from each label 0.. to between 1 and a tenth of the labels, with
+    whole volumes from least to most; never to itself. Draws that meet again
+    add up, as duplicate rows of demand do."""
+    uniform = lambda *salt: (F.pmod(F.xxhash64(*salt, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    below = lambda n, *salt: F.floor(uniform(*salt) * n).cast("int")
+    if nodes < 2:
+        return spark.createDataFrame([], "scenario_id string, o int, d int, demand double")
+    starts = spark.range(nodes).select(F.col("id").cast("int").alias("o"))
+    drawn = starts.withColumn("k", F.explode(F.sequence(F.lit(0), below(max(1, nodes // 10), "o", F.lit(1)))))
+    ends = below(nodes - 1, "o", "k", F.lit(2))
+    rows = drawn.select("o", F.when(ends >= F.col("o"), ends + 1).otherwise(ends).alias("d"), (least + below(most - least + 1, "o", "k", F.lit(3))).cast("double").alias("demand"))
+    return rows.groupBy(F.lit(scenario_id).alias("scenario_id"), "o", "d").agg(F.sum("demand").alias("demand"))

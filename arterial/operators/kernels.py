@@ -1,12 +1,14 @@
 """Sequential solvers of one scenario in numpy, for use in grouped operators.
 
 A scenario is small (a network and its demand); scenarios run in parallel. All
-solvers return flows by origin and a log of (iteration, gap, relative change).
+solvers return flows by origin and a log of (iteration, gap, relative change,
+CPU seconds of the iteration).
 """
 
 from __future__ import annotations
 
 import heapq
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -21,6 +23,47 @@ class Unreachable(ValueError):
     """Pairs without a path."""
 
 
+def dijkstra(out: dict[int, list[tuple[int, int, float]]], origin: int) -> tuple[dict[int, float], dict[int, int]]:
+    """Distance and incoming link of the nodes reached, by label, from links
+    (head, arc_id, cost) by tail; of equal ways, by the smaller arc_id."""
+    dist, pred, done = {origin: 0.0}, {}, set()
+    heap = [(0.0, origin)]
+    while heap:
+        at, u = heapq.heappop(heap)
+        if u in done:
+            continue
+        done.add(u)
+        for v, arc, cost in out.get(u, ()):
+            if v is None or cost is None:
+                continue
+            new, had = at + cost, dist.get(v)
+            if had is None or new < had or (new == had and v not in done and arc < pred[v]):
+                dist[v], pred[v] = new, arc
+                heapq.heappush(heap, (new, v))
+    return dist, pred
+
+
+def push_up(tree: dict[int, tuple[int, int]], demand: dict[int, float]) -> dict[int, float]:
+    """Flow of each link of a tree, node to (tail, link), under the demand."""
+    waits: dict[int, int] = {}
+    for u, _ in tree.values():
+        waits[u] = waits.get(u, 0) + 1
+    mass, flow = dict(demand), {}
+    ready = [n for n in tree if n not in waits]
+    while ready:
+        n = ready.pop()
+        if n not in tree:
+            continue
+        u, arc = tree[n]
+        if q := mass.get(n, 0.0):
+            flow[arc] = q
+            mass[u] = mass.get(u, 0.0) + q
+        waits[u] -= 1
+        if not waits[u]:
+            ready.append(u)
+    return flow
+
+
 @dataclass
 class Network:
     """Links with ends as places 0.., and demand by origin place."""
@@ -134,11 +177,21 @@ class Network:
 
 
 Flows = dict[int, np.ndarray]
-Log = list[tuple[int, float, float]]
 
 
-def _logged(log: Log, i: int, gap: float) -> None:
-    log.append((i, gap, 1.0 if not log else abs(log[-1][1] - gap) / log[-1][1] if log[-1][1] else 0.0))
+class Log(list):
+    """Rows (iteration, gap, relative change, seconds)."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.at = time.process_time()
+
+    def note(self, i: int, gap: float) -> None:
+        before = self[-1][1] if self else None
+        change = 1.0 if before is None else abs(before - gap) / before if before else 0.0
+        now = time.process_time()
+        self.append((i, gap, change, now - self.at))
+        self.at = now
 
 
 def _total(net: Network, flows: Flows) -> np.ndarray:
@@ -149,11 +202,11 @@ def frank_wolfe(net: Network, target: float = 1e-4, max_iter: int = 1000) -> tup
     """Conjugate directions: each target point is mixed with the last one so
     that the direction is conjugate to the last; exact line search by bisection
     of the objective's slope."""
-    flows, log = net.load(net.cost(np.zeros(len(net.t0)))), []
+    flows, log = net.load(net.cost(np.zeros(len(net.t0)))), Log()
     last: Flows | None = None
     for i in range(1, max_iter + 1):
         x = _total(net, flows)
-        _logged(log, i, net.gap(x))
+        log.note(i, net.gap(x))
         if log[-1][1] < target:
             break
         best = net.load(net.cost(x))
@@ -163,6 +216,11 @@ def frank_wolfe(net: Network, target: float = 1e-4, max_iter: int = 1000) -> tup
             mix = min(max(up / down, 0.0), 0.99) if down else 0.0
             best = {o: mix * last[o] + (1 - mix) * f for o, f in best.items()}
         d = _total(net, best) - x
+        if (net.cost(x) * d).sum() > 0:
+            if last is None:
+                raise ArithmeticError("the direction does not descend")
+            last = None  # a mix of directions may lead up: the next one is not mixed
+            continue
         low, high = 0.0, 1.0
         for _ in range(50):
             mid = (low + high) / 2
@@ -191,9 +249,18 @@ def find_pas(net: Network, own: Sequence[float], pred: np.ndarray, arc: int) ->
     return tuple(tree[place[node] :]), tuple(back[::-1])
 
 
-def shift_pas(net: Network, x: list[float], cost: list[float], own: list[float], s1: Sequence[int], s2: Sequence[int]) -> float:
-    """One Newton step from the dearer segment to the cheaper one. Segments are
-    a few links long, so plain numbers are faster here than arrays."""
+def shift_pas(net: Network, x: list[float], cost: list[float], own: list[float], s1: Sequence[int], s2: Sequence[int], steps: int = 1) -> float:
+    """At most ``steps`` Newton steps from the dearer segment to the cheaper
+    one, each clamped to what the origin has there; what the first moves.
+    Segments are a few links long: plain numbers are faster here than arrays."""
+    first = _newton(net, x, cost, own, s1, s2)
+    for _ in range(steps - 1):
+        if _newton(net, x, cost, own, s1, s2) <= 1e-3 * first:
+            break
+    return first
+
+
+def _newton(net: Network, x: list[float], cost: list[float], own: list[float], s1: Sequence[int], s2: Sequence[int]) -> float:
     gain = sum([cost[i] for i in s2]) - sum([cost[i] for i in s1])
     a, b = (s1, s2) if gain >= 0 else (s2, s1)
     room = min([own[i] for i in b])
@@ -213,7 +280,7 @@ def shift_pas(net: Network, x: list[float], cost: list[float], own: list[float],
 def paired_segments(net: Network, target: float = 1e-10, max_iter: int = 100, sweeps: int = 20, start: Flows | None = None) -> tuple[Flows, Log]:
     first = start or net.load(net.cost(np.zeros(len(net.t0))))
     flows = {o: f.tolist() for o, f in first.items()}
-    log: Log = []
+    log = Log()
     pas: dict[tuple, None] = {}
     arrays = lambda: {o: np.array(f) for o, f in flows.items()}
     x = _total(net, first).tolist()
@@ -222,7 +289,8 @@ def paired_segments(net: Network, target: float = 1e-10, max_iter: int = 100, sw
             now = net.cost(np.array(x))
             dist, pred = net.tree(o, now)
             cost, reduced, held = now.tolist(), now + dist[net.tail] - dist[net.head], np.array(own)
-            for arc in np.flatnonzero((held > EPS) & (reduced > EPS)).tolist():
+            # from small tails on, and from large heads of one tail
+            for arc in sorted(np.flatnonzero((held > EPS) & (reduced > EPS)).tolist(), key=lambda a: (net.tails[a], -net.head[a])):
                 if own[arc] > EPS and (found := find_pas(net, own, pred, arc)):
                     pas[(o, *found)] = None
                     shift_pas(net, x, cost, own, *found)
@@ -236,7 +304,7 @@ def paired_segments(net: Network, target: float = 1e-10, max_iter: int = 100, sw
                     shift_pas(net, x, cost, own, s1, s2)
         total = _total(net, arrays())
         x = total.tolist()
-        _logged(log, i, net.gap(total))
+        log.note(i, net.gap(total))
         if log[-1][1] < target:
             break
     return arrays(), log
@@ -298,16 +366,23 @@ def segments_at(net: Network, short: list[int], long: list[int], node: int) -> t
     return [], []
 
 
-def bushes(net: Network, target: float = 1e-10, max_iter: int = 500, inner: int = 6, start: Flows | None = None) -> tuple[Flows, Log]:
-    first = start or net.load(net.cost(np.zeros(len(net.t0))))
+def bushes(net: Network, target: float = 1e-10, max_iter: int = 500, inner: int = 6, steps: int = 4, start: Flows | None = None) -> tuple[Flows, Log]:
+    first = dict(start or net.load(net.cost(np.zeros(len(net.t0)))))
+    base = net.cost(_total(net, start or {}))
+    log = Log()
+    arcs: dict[int, set[int]] = {}
+    for o, own in first.items():
+        _, pred = net.tree(o, base)
+        way = {int(a) for a in pred if a >= 0}
+        arcs[o] = way | set(np.flatnonzero(own > 0).tolist())
+        try:
+            topological_order(net, arcs[o], o)
+        except ValueError:  # the flows to start from go round: this origin begins anew
+            arcs[o], first[o] = way, np.zeros(len(net.t0))
+            for d, q in net.demand[o].items():
+                first[o][net.path(pred, d)] += q
     flows = {o: f.tolist() for o, f in first.items()}
-    log: Log = []
     x = _total(net, first).tolist()
-    zero = net.cost(np.zeros(len(net.t0)))
-    arcs: dict[int, set[int]] = {}
-    for o, own in flows.items():
-        _, pred = net.tree(o, zero)
-        arcs[o] = {int(a) for a in pred if a >= 0} | {a for a, f in enumerate(own) if f > 0}
     tail, head = net.tail.tolist(), net.head.tolist()
     for i in range(1, max_iter + 1):
         for o, own in flows.items():
@@ -326,7 +401,7 @@ def bushes(net: Network, target: float = 1e-10, max_iter: int = 500, inner: int
                 for v in reversed(order):
                     s1, s2 = segments_at(net, short, long, v)
                     if s1 and s2 and s1 != s2 and sum([cost[a] for a in s2]) > sum([cost[a] for a in s1]):
-                        moved = max(moved, shift_pas(net, x, cost, own, s1, s2))
+                        moved = max(moved, shift_pas(net, x, cost, own, s1, s2, steps))
                 for a, f in enumerate(own):
                     if 0 < f < 1e-13:
                         own[a] = 0.0
@@ -334,7 +409,7 @@ def bushes(net: Network, target: float = 1e-10, max_iter: int = 500, inner: int
                     break
         total = _total(net, {o: np.array(f) for o, f in flows.items()})
         x = total.tolist()
-        _logged(log, i, net.gap(total))
+        log.note(i, net.gap(total))
         if log[-1][1] < target:
             break
     return {o: np.array(f) for o, f in flows.items()}, log
@@ -353,9 +428,11 @@ def colours(tail: np.ndarray, head: np.ndarray) -> np.ndarray:
     return np.array(out, int)
 
 
-def multipliers(net: Network, target: float = 1e-4, max_iter: int = 500, rho: float = 0.01) -> tuple[Flows, Log]:
+def multipliers(net: Network, target: float = 1e-4, max_iter: int = 1000, rho: float | None = 0.01) -> tuple[Flows, Log]:
     """Alternating directions: all links of one colour share no node, so they
-    take their projected Newton steps at once; the gap is of absolute value."""
+    take their projected Newton steps at once; the gap is of absolute value.
+    The penalty rho weighs flows against costs; None sets it to five times the
+    links' mean cost slope at capacity."""
     starts = list(net.demand)
     g = np.zeros((len(starts), len(net.labels)))
     for i, o in enumerate(starts):
@@ -363,9 +440,11 @@ def multipliers(net: Network, target: float = 1e-4, max_iter: int = 500, rho: fl
             g[i, o] += q
             g[i, d] -= q
     x, dual, bal = np.zeros((len(starts), len(net.t0))), np.zeros_like(g), np.zeros_like(g)
+    if rho is None:
+        rho = 5 * float(np.mean(net.slope(net.capacity))) if len(net.t0) else 1.0
     colour = colours(net.tail, net.head)
     blocks = [np.flatnonzero(colour == k) for k in range(colour.max(initial=-1) + 1)]
-    log: Log = []
+    log = Log()
     for i in range(1, max_iter + 1):
         for a in blocks:
             u, v, total = net.tail[a], net.head[a], x[:, a].sum(axis=0)
@@ -378,7 +457,7 @@ def multipliers(net: Network, target: float = 1e-4, max_iter: int = 500, rho: fl
             bal[:, u] += change
             bal[:, v] -= change
         dual += rho * (bal - g)
-        _logged(log, i, abs(net.gap(x.sum(axis=0))))
+        log.note(i, abs(net.gap(x.sum(axis=0))))
         if log[-1][1] < target and np.abs(bal - g).max(initial=0) < 1e-2 * max(1.0, np.abs(g).max(initial=0)):
             break
     return {o: x[i] for i, o in enumerate(starts)}, log
@@ -389,6 +468,14 @@ def link_use(net: Network, arcs: set[int], own: np.ndarray, origin: int, target:
     flow shares are multiplied back from the target, nodes in reverse order."""
     use, reach = np.zeros(len(net.t0)), np.zeros(len(net.labels))
     reach[target] = 1.0
+    # links that a rounding rest of flow leaves apart from the others take no part
+    seen, todo = {origin}, [origin]
+    while todo:
+        for a in net.out[todo.pop()]:
+            if a in arcs and int(net.head[a]) not in seen:
+                seen.add(int(net.head[a]))
+                todo.append(int(net.head[a]))
+    arcs = {a for a in arcs if net.tails[a] in seen}
     for v in reversed(topological_order(net, arcs, origin)):
         into = [a for a in net.into[v] if a in arcs]
         total = own[into].sum() if into else 0.0
@@ -399,4 +486,25 @@ def link_use(net: Network, arcs: set[int], own: np.ndarray, origin: int, target:
     return use
 
 
+def continued(net: Network, start: Flows) -> Flows:
+    """Flows to go on from: those of ``start``, and on the shortest ways what
+    demand has beyond them. Origins of which some demand fell begin anew."""
+    fresh: Flows = {}
+    cost = net.cost(_total(net, {o: f for o, f in start.items() if o in net.demand}))
+    for o, own in net.demand.items():
+        flow = start.get(o)
+        _, pred = net.tree(o, cost)
+        if flow is not None:
+            arrived = np.bincount(net.head, flow, len(net.labels)) - np.bincount(net.tail, flow, len(net.labels))
+            arrived[o] = 0.0
+            more = {d: own.get(d, 0.0) - float(arrived[d]) for d in {*own, *np.flatnonzero(np.abs(arrived) > 1e-7).tolist()}}
+        if flow is None or min(more.values()) < -1e-6:
+            flow, more = np.zeros(len(net.t0)), own
+        fresh[o] = flow.astype(float)
+        for d, q in more.items():
+            if q > 0:
+                fresh[o][net.path(pred, d)] += q
+    return fresh
+
+
 METHODS = {"fw": frank_wolfe, "pas": paired_segments, "bush": bushes, "admm": multipliers}

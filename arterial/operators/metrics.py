@@ -71,6 +71,20 @@ def primal_residual(oflow: DataFrame, od: DataFrame) -> DataFrame:
     return both.withColumn("residual", F.col("out_minus_in") - F.col("g"))
 
 
+def link_prices(arcs: DataFrame, values: DataFrame) -> DataFrame:
+    """scenario_id, o, arc_id, at_tail, at_head, difference of a value by
+    origin and node (scenario_id, o, node, value), 0 where there is none."""
+    side = lambda end, name: values.select("scenario_id", "o", F.col("node").alias(end), F.col("value").alias(name))
+    each = arcs.select("scenario_id", "arc_id", "u", "v").join(values.select("scenario_id", "o").distinct(), "scenario_id")
+    both = each.join(side("u", "at_tail"), ["scenario_id", "o", "u"], "left").join(side("v", "at_head"), ["scenario_id", "o", "v"], "left").fillna(0.0, ["at_tail", "at_head"])
+    return both.select("scenario_id", "o", "arc_id", "at_tail", "at_head", (F.col("at_tail") - F.col("at_head")).alias("difference"))
+
+
+def at_least(od: DataFrame, least: float = 1.0) -> DataFrame:
+    """Demand without the pairs under ``least``, and without pairs o = d."""
+    return od.filter((F.col("demand") >= least) & (F.col("o") != F.col("d")))
+
+
 def half_squared_error(flow: DataFrame, observed: DataFrame) -> DataFrame:
     """Half the squared distance to observed flows, by link."""
     both = flow.join(observed, "arc_id")

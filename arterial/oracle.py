@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from arterial import grid
+
 ARCS = """
 arcs AS MATERIALIZED (
   SELECT CAST(row_number() OVER (ORDER BY u, v) - 1 AS INTEGER) AS arc_id, u, v, q / 20.0 AS capacity, CAST(1 + n % 7 AS DOUBLE) AS t0
   FROM (SELECT c_nationkey AS u, CAST(l_partkey % 25 AS INTEGER) AS v, CAST(sum(l_quantity) AS DOUBLE) AS q, count(*) AS n
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-        WHERE (l_partkey % 25 - c_nationkey + 25) % 25 IN (1, 24, 5, 20)
+        WHERE l_partkey % 25 <> c_nationkey
         GROUP BY c_nationkey, l_partkey % 25))"""
 OD = """
 od AS MATERIALIZED (
   SELECT c_nationkey AS o, CAST(o_orderkey % 25 AS INTEGER) AS d, CAST(count(*) AS DOUBLE) AS demand
   FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE c_nationkey <> o_orderkey % 25 AND c_nationkey < 4
+  WHERE c_nationkey <> o_orderkey % 25
   GROUP BY c_nationkey, o_orderkey % 25)"""
 LOADED = "flow AS (SELECT *, capacity * (1 + arc_id % 5) / 2 AS x FROM arcs)"
 SPREAD = "spread AS (SELECT k.o, arc_id, v, CAST((arc_id * 7 + k.o * 3) % 11 AS DOUBLE) AS x FROM arcs, (SELECT unnest(range(4)) AS o) k)"
@@ -59,13 +61,24 @@ BUSH = "bush AS (SELECT o, arc_id FROM oflow UNION SELECT o, arc_id FROM spt_pre
 IMBALANCE = "imb AS (SELECT o, node, sum(s) AS s FROM (SELECT f.o, a.u AS node, f.x AS s FROM oflow f JOIN arcs a USING (arc_id) UNION ALL SELECT f.o, a.v, -f.x FROM oflow f JOIN arcs a USING (arc_id)) GROUP BY o, node)"
 SUPPLY = "sup AS (SELECT o, node, sum(g) AS g FROM (SELECT o, o AS node, demand AS g FROM od UNION ALL SELECT o, d, -demand FROM od) GROUP BY o, node)"
 PAS = """
-pas AS (SELECT arc_id AS pas_id, arc_id % 4 AS o, [(arc_id + 3) % 20, (arc_id + 1) % 20] AS s1, [(arc_id + 2) % 20, (arc_id + 7) % 20, (arc_id + 5) % 20] AS s2 FROM arcs),
+pas AS (SELECT arc_id AS pas_id, arc_id % 4 AS o, [(arc_id + 3) % 100, (arc_id + 1) % 100] AS s1, [(arc_id + 2) % 100, (arc_id + 7) % 100, (arc_id + 5) % 100] AS s2 FROM arcs),
 keyed AS (SELECT pas_id, CASE WHEN list_sort(s1) <= list_sort(s2)
     THEN concat_ws('|', o, array_to_string(list_sort(s1), ','), array_to_string(list_sort(s2), ','))
     ELSE concat_ws('|', o, array_to_string(list_sort(s2), ','), array_to_string(list_sort(s1), ',')) END AS pas_key FROM pas)"""
 LOG = "log AS (SELECT u AS run_id, v AS iter, 1.0::DOUBLE / (1 + v + u) AS gap, t0 AS seconds FROM arcs)"
 
 
+def known_equilibria() -> str:
+    """Fixed values, rounded as the query rounds them."""
+    rows = []
+    for q, (tstt, objective, best_tstt, best_objective) in grid.EQUILIBRIA.items():
+        rows += [(f"{q:g}", m, "false", tstt, objective) for m in ("pas", "bush")]
+        rows += [(f"{q:g}", m, "true", best_tstt, best_objective) for m in ("pas", "bush")]
+        rows += [(f"{q:g}", m, "false", round(tstt, -2), round(objective, -2)) for m in ("fw", "admm")]
+    values = ", ".join(f"('{s}', '{m}', {system}, CAST({t} AS DOUBLE), CAST({b} AS DOUBLE))" for s, m, system, t, b in rows)
+    return f"SELECT * FROM (VALUES {values}) x(scenario_id, method, system, tstt, beckmann)"
+
+
 def oracle_sql() -> dict[str, str]:
     by_link = lambda value, name: with_(ARCS, LOADED) + f"SELECT arc_id, round({value}, 9) AS {name} FROM flow"
     return {
@@ -80,10 +93,10 @@ def oracle_sql() -> dict[str, str]:
         "node_degree": NET + "SELECT node, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(1 - o) AS BIGINT) AS n_in FROM (SELECT u AS node, 1 AS o FROM arcs UNION ALL SELECT v, 0 FROM arcs) GROUP BY node",
         "max_node": NET + "SELECT max(greatest(u, v)) AS max_node FROM arcs",
         "distinct_origins": NET + "SELECT DISTINCT o FROM od",
-        "parallel_arcs": NET + "SELECT u, v, count(*) AS n FROM (SELECT u, v FROM arcs UNION ALL SELECT u, v FROM arcs WHERE arc_id % 10 = 0) GROUP BY u, v HAVING count(*) > 1",
+        "parallel_arcs": NET + "SELECT u, v, count(*) AS n FROM (SELECT u, v FROM arcs UNION ALL SELECT u, v FROM arcs) GROUP BY u, v HAVING count(*) > 1",
         "sssp_freeflow": TREE + "SELECT o, node, dist, coalesce(arc_id, -1) AS pred_arc FROM spt LEFT JOIN spt_pred USING (o, node)",
         "reverse_reachability": with_(
-            ARCS, "back AS (SELECT t AS target, t AS node FROM (VALUES (0), (7)) x(t) UNION SELECT b.target, a.u FROM back b JOIN arcs a ON a.v = b.node WHERE a.arc_id % 3 <> 0)"
+            ARCS, "back AS (SELECT t AS target, t AS node FROM (SELECT u AS t FROM arcs UNION SELECT v FROM arcs) UNION SELECT b.target, a.u FROM back b JOIN arcs a ON a.v = b.node)"
         ) + "SELECT target, node FROM back",
         "od_skim": TREE + "SELECT od.o, d, demand, dist FROM od JOIN spt ON spt.o = od.o AND node = d",
         "sptt": TREE + "SELECT round(sum(demand * dist), 6) AS sptt FROM od JOIN spt ON spt.o = od.o AND node = d",
@@ -96,7 +109,7 @@ def oracle_sql() -> dict[str, str]:
         "disequilibrated_arcs": with_(ARCS, OD, SPT, WALK, AON)
         + "SELECT s.o, a.arc_id, round(f.x, 6) AS x, round(a.cost + s.dist - h.dist, 6) AS reduced FROM aon a JOIN oflow f USING (arc_id) JOIN spt s ON s.o = f.o AND s.node = a.u JOIN spt h ON h.o = f.o AND h.node = a.v WHERE f.x > 1e-9 AND a.cost + s.dist - h.dist > 1e-9",
         "semi_reachable_od": with_(
-            ARCS, OD, "fwd AS (SELECT DISTINCT o, o AS node FROM od UNION SELECT f.o, a.v FROM fwd f JOIN arcs a ON a.u = f.node WHERE a.v % 4 <> 1)"
+            ARCS, OD, "fwd AS (SELECT DISTINCT o, o AS node FROM od UNION SELECT f.o, a.v FROM fwd f JOIN arcs a ON a.u = f.node)"
         ) + "SELECT o, d, demand FROM od WHERE EXISTS (SELECT 1 FROM fwd WHERE fwd.o = od.o AND fwd.node = od.d)",
         "anti_new_arcs": with_(ARCS, OD, SPT, WALK, REDUCED, BUSH) + "SELECT o, arc_id FROM added",
         "bush_union": with_(ARCS, OD, SPT, WALK, REDUCED, BUSH) + "SELECT o, arc_id FROM bush UNION ALL SELECT o, arc_id FROM added",
@@ -107,7 +120,7 @@ def oracle_sql() -> dict[str, str]:
         "argmax_pred": with_(ARCS, SPREAD) + "SELECT CAST(o AS INTEGER) AS o, v, arg_max(arc_id, x * 1000 - arc_id) AS arc_id FROM spread WHERE x > 0 GROUP BY o, v",
         "conflict_pairs": NET + "SELECT a.arc_id AS a, b.arc_id AS b FROM arcs a JOIN arcs b ON a.arc_id < b.arc_id AND (a.u = b.u OR a.u = b.v OR a.v = b.u OR a.v = b.v)",
         "pas_key": with_(ARCS, PAS) + "SELECT pas_id, pas_key FROM keyed",
-        "pas_dedup": with_(ARCS, PAS) + "SELECT DISTINCT pas_key FROM keyed WHERE pas_key NOT IN (SELECT pas_key FROM keyed WHERE pas_id < 10)",
+        "pas_dedup": with_(ARCS, PAS) + "SELECT DISTINCT pas_key FROM keyed WHERE pas_key NOT IN (SELECT pas_key FROM keyed JOIN arcs ON arc_id = pas_id WHERE t0 >= 7)",
         "path_cost_bottleneck": with_(ARCS, LOADED, SPREAD, PAS)
         + f"SELECT pas_id, side, round(sum(cost), 6) AS cost, round(sum(slope), 6) AS slope, min(own) AS bottleneck FROM (SELECT s.pas_id, s.side, {BPR} AS cost, t0 * 0.15 * 4 * pow(f.x / capacity, 3) / capacity AS slope, coalesce(w.x, 0) AS own FROM (SELECT pas_id, o, 1 AS side, unnest(s1) AS arc_id FROM pas UNION ALL SELECT pas_id, o, 2, unnest(s2) FROM pas) s JOIN flow f USING (arc_id) LEFT JOIN spread w ON w.o = s.o AND w.arc_id = s.arc_id) GROUP BY pas_id, side".replace(BPR, BPR.replace("x /", "f.x /")),
         "armijo_one_pass": with_(ARCS, LOADED)
@@ -117,13 +130,29 @@ def oracle_sql() -> dict[str, str]:
         "efficiency": with_(ARCS, LOADED) + f"SELECT round(sum(x * t0 / ({BPR})) / count(*), 6) AS efficiency FROM flow",
         "congested_od": with_(ARCS, OD, SPT, "slow AS MATERIALIZED (SELECT *, t0 * (1 + arc_id % 6) AS cost FROM arcs)", tree("far", "slow", "cost"))
         + "SELECT od.o, d, far.dist, spt.dist AS ref FROM od JOIN far ON far.o = od.o AND far.node = d JOIN spt ON spt.o = od.o AND spt.node = d WHERE far.dist > 3 * spt.dist",
-        "patience": NET + "SELECT arc_id AS step, CAST(sum(CASE WHEN t0 / 7 >= 0.7 THEN 1 ELSE 0 END) OVER (ORDER BY arc_id) AS BIGINT) AS hits FROM arcs",
+        "patience": NET + "SELECT arc_id AS step, CAST(sum(CASE WHEN t0 / 7 > 0.7 THEN 1 ELSE 0 END) OVER (ORDER BY arc_id) AS BIGINT) AS hits FROM arcs",
         "entropy": with_(OD) + "SELECT round(sum(demand * log10(demand)), 6) AS entropy FROM od",
         "half_sse": with_(ARCS, LOADED) + "SELECT round(sum(pow(capacity - x, 2)) / 2, 4) AS half_sse FROM flow",
         "ode_objective": with_(ARCS, OD, LOADED) + "SELECT round((SELECT sum(demand * log10(demand)) FROM od) + 0.5 * (SELECT sum(pow(capacity - x, 2)) / 2 FROM flow), 4) AS objective",
         "small_volumes": with_(OD) + "SELECT o, d, demand FROM od WHERE demand >= 20",
         "volume_spacings": NET
         + "SELECT scenario_id, cut, cut - lag(cut, 1, 0) OVER (PARTITION BY scenario_id ORDER BY cut) AS part FROM (SELECT CAST(u AS VARCHAR) AS scenario_id, CAST(arc_id AS DOUBLE) AS cut FROM arcs UNION SELECT CAST(u AS VARCHAR), 1000.0 FROM arcs)",
+        "topo_order": with_(ARCS, OD, SPT, "lvl AS (SELECT DISTINCT o, o AS node, 0 AS level FROM od UNION ALL SELECT l.o, p.node, l.level + 1 FROM lvl l JOIN spt_pred p ON p.o = l.o JOIN arcs a ON a.arc_id = p.arc_id AND a.u = l.node)")
+        + "SELECT o, node, level FROM lvl",
+        "edge_coloring": with_(
+            ARCS,
+            "near AS MATERIALIZED (SELECT a.arc_id, list(b.arc_id) FILTER (b.arc_id IS NOT NULL) AS others FROM arcs a LEFT JOIN arcs b ON b.arc_id < a.arc_id AND (a.u = b.u OR a.u = b.v OR a.v = b.u OR a.v = b.v) GROUP BY a.arc_id)",
+            "painted AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS INTEGER[]) AS colors UNION ALL SELECT n + 1, list_append(colors, CAST(list_min(list_filter(range(100), "
+            "lambda k: NOT list_contains(list_transform(coalesce(others, CAST([] AS INTEGER[])), lambda i: colors[i + 1]), k))) AS INTEGER)) FROM painted JOIN near ON arc_id = n)",
+            "full_list AS (SELECT colors FROM painted ORDER BY n DESC LIMIT 1)",
+        )
+        + "SELECT arc_id, colors[arc_id + 1] AS color FROM arcs, full_list",
+        "random_od": "SELECT CAST(s AS VARCHAR) AS scenario_id, CAST(10 AS BIGINT) AS pairs, CAST(300 AS DOUBLE) AS total, true AS positive FROM (SELECT unnest(range(100)) AS s)",
+        "known_equilibria": known_equilibria(),
+        "network_round_trip": NET + "SELECT arc_id, u, v, round(capacity, 6) AS capacity, t0 FROM arcs",
+        "demand_round_trip": NET + "SELECT '0' AS scenario_id, o, d, demand FROM od",
+        "flow_round_trip": with_(ARCS, LOADED) + "SELECT u, v, round(x, 6) AS x FROM flow",
+        "log_round_trip": with_(ARCS, LOG) + "SELECT CAST(run_id AS VARCHAR) AS run_id, iter, round(gap, 6) AS gap, round(coalesce(abs(p - gap) / p, 1), 6) AS rel_change, seconds FROM (SELECT *, lag(gap) OVER (PARTITION BY run_id ORDER BY iter) AS p FROM log)",
         "gap_lag": with_(ARCS, LOG) + "SELECT run_id, iter, round(coalesce(abs(p - gap) / p, 1), 6) AS change FROM (SELECT *, lag(gap) OVER (PARTITION BY run_id ORDER BY iter) AS p FROM log)",
         "first_passage": with_(ARCS, LOG)
         + "SELECT run_id, level, min(iter) AS iter, arg_min(so_far, iter) AS seconds FROM (SELECT *, sum(seconds) OVER (PARTITION BY run_id ORDER BY iter) AS so_far FROM log), (SELECT unnest([CAST(0.1 AS DOUBLE), CAST(0.05 AS DOUBLE)]) AS level) WHERE gap < level GROUP BY run_id, level",

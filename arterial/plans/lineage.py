@@ -41,6 +41,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df itself, if it is what ``materialize`` gave; else written now."""
+    return df if hasattr(df, "_arterial_path") else materialize(df, label)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
     for df in tables:

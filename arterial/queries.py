@@ -1,21 +1,24 @@
 """Registered queries of the assignment operators, over a network derived from
-the driver's tables: links between nations by part number, demand by order
-number. Capacity is a twentieth of the summed quantity, so that links congest.
+the driver's whole tables: links between nations by part number, demand by
+order number, all pairs of different ends. Capacity is a twentieth of the
+summed quantity, so that links congest.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arterial import grid
 from arterial.functions import cost as C
-from arterial.operators import generate, graph, kernels, logs, metrics
+from arterial.operators import generate, graph, logs, metrics
 from arterial.plans import scenarios, solvers
-from arterial.plans.lineage import materialize
-from arterial.sources import text
+from arterial.plans.lineage import materialize, shared_dir
+from arterial.sources import sinks, text
 
 SHRINK = 20.0
 
@@ -25,21 +28,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 100 links whatever the tables' size: quantities are summed
+    """At most 600 links whatever the tables' size: quantities are summed
     before anything is numbered."""
     items = _table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 25).cast("int").alias("v"), "l_quantity")
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     buyers = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("u"))
     sold = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-    near = sold.filter(((F.col("v") - F.col("u") + 25) % 25).isin(1, 24, 5, 20))
-    arcs = near.groupBy("u", "v").agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"))
+    arcs = sold.filter("u != v").groupBy("u", "v").agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"))
     number = F.row_number().over(Window.orderBy("u", "v")) - 1
     return arcs.select(F.lit("0").alias("scenario_id"), number.alias("arc_id"), "u", "v", (F.col("q") / SHRINK).alias("capacity"), (1 + F.col("n") % 7).cast("double").alias("t0"))
 
 
 def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 25).cast("int").alias("d"))
-    buyers = _table(spark, sf_dir, "customer").filter("c_nationkey < 4").select("c_custkey", F.col("c_nationkey").alias("o"))
+    buyers = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("o"))
     pairs = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey")).filter("o != d")
     return pairs.groupBy("o", "d").agg(F.count(F.lit(1)).cast("double").alias("demand")).select(F.lit("0").alias("scenario_id"), "o", "d", "demand")
 
@@ -94,7 +96,7 @@ def node_degree(spark, sf):
 
 
 def max_node(spark, sf):
-    return links(spark, sf).agg(F.max(F.greatest("u", "v")).alias("max_node"))
+    return graph.max_node(links(spark, sf)).select("max_node")
 
 
 def distinct_origins(spark, sf):
@@ -102,8 +104,8 @@ def distinct_origins(spark, sf):
 
 
 def parallel_arcs(spark, sf):
-    doubled = links(spark, sf).unionByName(links(spark, sf).filter("arc_id % 10 = 0"))
-    return graph.parallel_arcs(doubled).select("u", "v", "n")
+    arcs = links(spark, sf)
+    return graph.parallel_arcs(arcs.unionByName(arcs.withColumn("arc_id", F.col("arc_id") + 600))).select("u", "v", "n")
 
 
 def sssp_freeflow(spark, sf):
@@ -112,9 +114,8 @@ def sssp_freeflow(spark, sf):
 
 
 def reverse_reachability(spark, sf):
-    arcs = materialize(links(spark, sf).filter("arc_id % 3 != 0"), "links")
-    targets = spark.createDataFrame([("0", 0), ("0", 7)], "scenario_id string, target int")
-    return graph.reaching(arcs, targets).select("target", "node")
+    arcs = materialize(links(spark, sf), "links")
+    return graph.reaching(arcs, graph.nodes(arcs).withColumnRenamed("node", "target")).select("target", "node")
 
 
 def od_skim(spark, sf):
@@ -158,8 +159,7 @@ def disequilibrated_arcs(spark, sf):
 
 
 def semi_reachable_od(spark, sf):
-    arcs = materialize(links(spark, sf).filter("v % 4 != 1"), "links")
-    od = demand(spark, sf)
+    arcs, od = materialize(links(spark, sf), "links"), demand(spark, sf)
     spt = graph.shortest_paths(arcs, graph.origins(od))
     return od.join(spt.select("scenario_id", "o", F.col("node").alias("d")), ["scenario_id", "o", "d"], "left_semi").select("o", "d", "demand")
 
@@ -192,7 +192,7 @@ def primal_residual(spark, sf):
 def _spread(spark, sf):
     """Made-up flows by origin on all links."""
     arcs = links(spark, sf)
-    return arcs, arcs.crossJoin(spark.range(4).select(F.col("id").cast("int").alias("o"))).select("scenario_id", "o", "arc_id", ((F.col("arc_id") * 7 + F.col("o") * 3) % 11).cast("double").alias("x"))
+    return arcs, arcs.withColumn("o", F.explode(F.array(*map(F.lit, range(4))))).select("scenario_id", "o", "arc_id", ((F.col("arc_id") * 7 + F.col("o") * 3) % 11).cast("double").alias("x"))
 
 
 def split_fraction(spark, sf):
@@ -208,7 +208,7 @@ def conflict_pairs(spark, sf):
 
 
 def _pas(spark, sf):
-    ids = lambda *ks: F.array(*((F.col("arc_id") + k) % 20 for k in ks))
+    ids = lambda *ks: F.array(*((F.col("arc_id") + k) % 100 for k in ks))
     return links(spark, sf).select("scenario_id", F.col("arc_id").alias("pas_id"), (F.col("arc_id") % 4).alias("o"), ids(3, 1).alias("s1"), ids(2, 7, 5).alias("s2"))
 
 
@@ -217,7 +217,8 @@ def pas_key(spark, sf):
 
 
 def pas_dedup(spark, sf):
-    known = graph.pas_keys(_pas(spark, sf).filter("pas_id < 10"))
+    slow = links(spark, sf).filter("t0 >= 7").select("scenario_id", F.col("arc_id").alias("pas_id"))
+    known = graph.pas_keys(_pas(spark, sf).join(slow, ["scenario_id", "pas_id"], "left_semi"))
     return graph.new_pas(_pas(spark, sf), known).select("pas_key")
 
 
@@ -272,7 +273,7 @@ def ode_objective(spark, sf):
 
 
 def small_volumes(spark, sf):
-    return demand(spark, sf).filter("demand >= 20 and o != d").select("o", "d", "demand")
+    return metrics.at_least(demand(spark, sf), 20.0).select("o", "d", "demand")
 
 
 def volume_spacings(spark, sf):
@@ -302,7 +303,7 @@ def _solver(method: str, system: bool = False, **options):
 
 def fw_relational(spark, sf):
     arcs, od = materialize(links(spark, sf), "links"), materialize(demand(spark, sf), "demand")
-    return solvers.frank_wolfe_relational(arcs, od, max_iter=2).select("arc_id", "x", "cost")
+    return solvers.frank_wolfe_relational(arcs, od).select("arc_id", "x", "cost")
 
 
 def ue_log(spark, sf):
@@ -313,38 +314,81 @@ def oflow_by_pas(spark, sf):
     return solvers.assign_by_origin(links(spark, sf), demand(spark, sf), "pas", target=1e-8).select("o", "arc_id", "x")
 
 
+def warm_start(spark, sf):
+    """Equilibrium from the flows by origin of a looser one, objective only."""
+    arcs, od = materialize(links(spark, sf), "links"), materialize(demand(spark, sf), "demand")
+    loose = materialize(solvers.assign_by_origin(arcs, od, "bush", target=1e-2), "loose")
+    return solvers.assign(arcs, od, "bush", start=loose, target=1e-6).select("arc_id", "x", "cost")
+
+
 def percolation(spark, sf):
-    return scenarios.percolation(links(spark, sf), demand(spark, sf), growth=20.0, max_steps=4, target=1e-2)
+    """Demand is raised by 20 a pair and step, as fits the tables' counts of
+    orders; the run ends by its own rules."""
+    return scenarios.percolation(links(spark, sf), demand(spark, sf), growth=20.0, target=1e-3)
 
 
 def od_estimation(spark, sf):
-    return scenarios.estimate_demand(links(spark, sf), demand(spark, sf), _observed(spark, sf), weight=1e-3, rounds=2, target=1e-3).select("o", "d", "demand")
+    return scenarios.estimate_demand(links(spark, sf), demand(spark, sf), _observed(spark, sf), weight=1e-3, target=1e-4).select("o", "d", "demand")
 
 
 def edge_coloring(spark, sf):
-    def paint(pdf):
-        pdf = pdf.sort_values("arc_id")
-        return pdf.assign(color=kernels.colours(pdf["u"].to_numpy(), pdf["v"].to_numpy()))[["arc_id", "color"]]
-
-    return links(spark, sf).select("scenario_id", "arc_id", "u", "v").groupBy("scenario_id").applyInPandas(paint, "arc_id int, color int")
+    return solvers.edge_colours(links(spark, sf)).select("arc_id", F.col("colour").alias("color"))
 
 
 def topo_order(spark, sf):
-    """Places of the nodes in each origin's free-flow tree."""
-    arcs, od, spt = _parts(spark, sf)
-    tree = spt.filter("pred_arc is not null").join(arcs.select("scenario_id", F.col("arc_id").alias("pred_arc"), "u", "v", "capacity", "t0"), ["scenario_id", "pred_arc"])
+    """Levels of the nodes in each origin's free-flow tree."""
+    arcs, _, spt = _parts(spark, sf)
+    return graph.levels(spt, arcs).select("o", "node", "level")
 
-    def order(pdf):
-        net = kernels.Network.of(pdf["u"], pdf["v"], pdf["capacity"], pdf["t0"], [], [], [])
-        at = {int(label): i for i, label in enumerate(net.labels)}
-        places = kernels.topological_order(net, set(range(len(pdf))), at[int(pdf["o"].iloc[0])])
-        return pd.DataFrame({"o": int(pdf["o"].iloc[0]), "node": [int(net.labels[i]) for i in places], "place": range(len(places))})
 
-    return tree.groupBy("scenario_id", "o").applyInPandas(order, "o int, node int, place int")
+def random_od(spark, sf):
+    out = generate.random_demand(spark, 100, 10, 300.0, 1000, seed=1)
+    return out.groupBy("scenario_id").agg(F.countDistinct("o", "d").alias("pairs"), _r(F.sum("demand")).alias("total"), F.min("demand").alias("least")).select("scenario_id", "pairs", "total", (F.col("least") > 0).alias("positive"))
 
 
-def random_od(spark, sf):
-    return generate.random_demand(spark, 100, 10, 300.0, 1000, seed=1)
+def known_equilibria(spark, sf):
+    """Total time and objective by all methods on the network whose equilibria
+    are known: to a tenth by the exact ones, to hundreds by the others."""
+    arcs = spark.createDataFrame([r for q in grid.EQUILIBRIA for r in grid.links(f"{q:g}")], grid.LINKS)
+    od = spark.createDataFrame([r for q in grid.EQUILIBRIA for r in grid.pairs(q, f"{q:g}")], grid.PAIRS)
+    parts = []
+    for method, system, target, digits in (("pas", False, 1e-11, 1), ("bush", False, 1e-11, 1), ("pas", True, 1e-11, 1), ("bush", True, 1e-11, 1), ("fw", False, 1e-5, -2), ("admm", False, 1e-7, -2)):
+        out = solvers.assign(arcs, od, method, system, target=target)
+        both = metrics.total_time(out).join(metrics.beckmann(out), "scenario_id")
+        parts.append(both.select("scenario_id", F.lit(method).alias("method"), F.lit(system).alias("system"), _r("tstt", digits).alias("tstt"), _r("beckmann", digits).alias("beckmann")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/arterial/{name}-{uuid.uuid4().hex}"
+
+
+def network_round_trip(spark, sf):
+    """Links written as a network file and read back."""
+    path = _folder(spark, "network")
+    sinks.write_network(links(spark, sf), path)
+    return text.read_network(spark, path).select("arc_id", "u", "v", _r("capacity").alias("capacity"), "t0")
+
+
+def demand_round_trip(spark, sf):
+    """Demand written by scenario and read back, file by file."""
+    path = _folder(spark, "demand")
+    sinks.write_demand(demand(spark, sf), path)
+    return text.read_scenarios(spark, f"{path}/*", r"scenario_id=([^/]*)/").select("scenario_id", "o", "d", "demand")
+
+
+def flow_round_trip(spark, sf):
+    """Flows written by link and read back as a matrix of three columns."""
+    path = _folder(spark, "flow")
+    sinks.write_flow(loaded(spark, sf), path)
+    return text.read_matrix(spark, path, 3).select(F.col("c0").cast("int").alias("u"), F.col("c1").cast("int").alias("v"), _r("c2").alias("x"))
+
+
+def log_round_trip(spark, sf):
+    """Convergence logs written by run and read back."""
+    path = _folder(spark, "log")
+    sinks.write_log(logs.with_change(_log(spark, sf)).withColumnRenamed("change", "rel_change"), path)
+    return text.read_log(spark, f"{path}/*", r"run_id=([^/]*)/").select("run_id", "iter", _r("gap").alias("gap"), _r("rel_change").alias("rel_change"), "seconds")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -354,6 +398,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         net_supply, node_imbalance, primal_residual, split_fraction, argmax_pred, conflict_pairs, pas_key, pas_dedup, path_cost_bottleneck,
         armijo_one_pass, largest_change, efficiency, congested_od, patience, entropy, half_sse, ode_objective, small_volumes, volume_spacings,
         gap_lag, first_passage, fw_relational, ue_log, oflow_by_pas, percolation, od_estimation, edge_coloring, topo_order, random_od,
+        warm_start, known_equilibria, network_round_trip, demand_round_trip, flow_round_trip, log_round_trip,
     )
     out = {f.__name__: f for f in plain}
     out |= {
@@ -365,6 +410,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ue_bush": _solver("bush", target=1e-6),
         "ue_fw": _solver("fw", target=1e-3),
         "so_fw": _solver("fw", system=True, target=1e-3),
-        "ue_admm": _solver("admm", target=1e-3),
+        "ue_admm": _solver("admm", target=1e-3, rho=None),
     }
     return out

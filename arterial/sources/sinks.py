@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def write_network(arcs: DataFrame, path: str) -> None:
+    """``u v capacity t0`` rows in order of arc_id; one file, as line numbers
+    are link numbers."""
+    arcs.coalesce(1).sortWithinPartitions("arc_id").select("u", "v", "capacity", "t0").write.mode("overwrite").csv(path, sep=" ")
+
+
+def write_log(log: DataFrame, path: str) -> None:
+    """``iter gap change seconds`` rows, a folder for each run_id."""
+    log.select("run_id", F.concat_ws(" ", "iter", "gap", "rel_change", "seconds").alias("value")).write.mode("overwrite").partitionBy("run_id").text(path)
+
+
 def write_flow(flow: DataFrame, path: str) -> None:
     """``from to flow`` rows, blank-separated."""
     flow.select("u", "v", "x").write.mode("overwrite").csv(path, sep=" ")

@@ -55,7 +55,7 @@ LEAST_PARTS = 64
 HELD_KEYS = 1_000_000
 #: Members of a cluster, or of a pair of blocks, that one tree join takes, and
 #: their shingles: a task holds no more texts than have about so many words.
-CLUSTER, CLUSTER_SHINGLES = 1_000, 2_000_000
+CLUSTER, CLUSTER_SHINGLES = 2_000, 4_000_000
 #: Members of a leaf, and children of a node.
 LEAF, FAN = 24, 6
 NO_ID = np.iinfo(np.int64).max
@@ -446,27 +446,36 @@ def _linked(docs: DataFrame, rule: Rule, cluster: int, shingle_limit: int, every
     chosen = members.join(sizes, "component")
     fits = (F.col("m") <= cluster) & (F.col("held") <= shingle_limit)
     small = chosen.filter(fits).select("node", F.array(F.col("component")).alias("task"), F.lit(True).alias("left"), F.lit(True).alias("right"))
-    blocks = F.least(F.col("m"), F.greatest(F.ceil(F.col("m") * 2 / cluster), F.ceil(F.col("held") * 2 / shingle_limit))).cast("int")
-    level = F.floor(F.log(F.col("n").cast("double")) / _size_class(rule)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    # sizes that can link lie in one level or in neighbours; a task is (component, level, block, level or next, block)
+    # sizes that can link lie in one level or in neighbours, so a larger cluster is cut by levels, and a level into blocks;
+    # a task is (component, level, block, level or next, block), and a member goes to those of its level and of both next to it
+    level = F.floor(F.log(F.col("n").cast("double")) / _size_class(rule)).cast("int").alias("level")
+    parted = materialize(chosen.filter(~fits).select("node", "n", "component", level), "parted")
+    held = parted.groupBy("component", "level").agg(F.count(F.lit(1)).alias("in_level"), F.sum("n").alias("words"))
+    held = held.withColumn("blocks", F.least(F.col("in_level"), F.greatest(F.ceil(F.col("in_level") * 2 / cluster), F.ceil(F.col("words") * 2 / shingle_limit))).cast("int"))
+    held = materialize(held.drop("words"), "levels")
+    beside = lambda by, name: held.select("component", (F.col("level") - by).alias("level"), F.col("blocks").alias(name))
+    around = held.join(beside(1, "above"), ["component", "level"], "left").join(beside(-1, "below"), ["component", "level"], "left")
+    around = materialize(around.fillna(0, ["above", "below"]), "levels")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    count = lambda c: F.filter(F.sequence(F.lit(0), F.greatest(c, F.lit(1)) - 1), lambda o: o < c)
+    task = lambda *at: F.array(F.col("component"), *(x.cast("long") for x in at)).alias("task")
+    side = lambda at, left, right: F.struct(at, (left if isinstance(left, Column) else F.lit(left)).alias("left"), (right if isinstance(right, Column) else F.lit(right)).alias("right"))
+    own, up, down = F.col("level"), F.col("level") + 1, F.col("level") - 1
     there = F.explode(
-        F.flatten(
-            F.array(
-                F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.array(F.col("component"), level, F.least(mine, o), level, F.greatest(mine, o)).alias("task"), (mine <= o).alias("left"), (mine >= o).alias("right"))),
-                F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.array(F.col("component"), level, mine, level + 1, o).alias("task"), F.lit(True).alias("left"), F.lit(False).alias("right"))),
-                F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.array(F.col("component"), level - 1, o, level, mine).alias("task"), F.lit(False).alias("left"), F.lit(True).alias("right"))),
-            )
+        F.concat(
+            F.transform(count(F.when(F.col("in_level") > 1, F.col("blocks")).otherwise(0)), lambda o: side(task(own, F.least(mine, o), own, F.greatest(mine, o)), mine <= o, mine >= o)),
+            F.transform(count(F.col("above")), lambda o: side(task(own, mine, up, o), True, False)),
+            F.transform(count(F.col("below")), lambda o: side(task(down, o, own, mine), False, True)),
         )
     )
-    large = chosen.filter(~fits).select("node", there.alias("t")).select("node", "t.task", "t.left", "t.right")
+    large = parted.join(around, ["component", "level"]).select("node", there.alias("t")).select("node", "t.task", "t.left", "t.right")
     tasks = small.unionByName(large)
     texts = docs.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "text")
     # members grow with the documents: no size at which they would be broadcast
     rows = texts.join(tasks.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
     dealt = rows.repartition("task").sortWithinPartitions("task")
     links = materialize(_cluster_links(dealt, rule, every), "links")
-    discard(members, clusters)
+    discard(members, clusters, parted, held, around)
     return known, sets, links
 
 

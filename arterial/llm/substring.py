@@ -231,17 +231,32 @@ def recurring(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[
     return passages, some
 
 
+class _Letters(dict):
+    """A letter of its own for each word that is asked for."""
+
+    def __missing__(self, word: bytes) -> str:
+        self[word] = letter = chr(len(self) + 1)
+        return letter
+
+
+class _Known(dict):
+    """The same letters; one that no passage has for any other word."""
+
+    def __missing__(self, word: bytes) -> str:
+        return "\0"
+
+
 class Automaton:
     """An Aho-Corasick automaton over words: a word is one letter to it."""
 
     def __init__(self, passages: list[list[bytes]]):
         import ahocorasick
 
-        self.letters: dict[bytes, str] = {}
+        letters = _Letters()
         self.machine = ahocorasick.Automaton()
         for words in passages:
-            key = "".join([self.letters.setdefault(w, chr(len(self.letters) + 1)) for w in words])
-            self.machine.add_word(key, len(words))
+            self.machine.add_word("".join(map(letters.__getitem__, words)), len(words))
+        self.letters = _Known(letters)
         self.any = bool(passages)
         if self.any:
             self.machine.make_automaton()
@@ -250,10 +265,11 @@ class Automaton:
         """Which words an occurrence of any passage covers."""
         change = np.zeros(len(words) + 1, np.int64)
         if self.any:
-            look = self.letters
-            for end, size in self.machine.iter("".join([look.get(w, "\0") for w in words])):
-                change[end + 1] -= 1
-                change[end + 1 - size] += 1
+            found = list(self.machine.iter("".join(map(self.letters.__getitem__, words))))
+            if found:
+                ends, sizes = np.array(found, np.int64).T
+                np.subtract.at(change, ends + 1, 1)
+                np.add.at(change, ends + 1 - sizes, 1)
         return np.cumsum(change[:-1]) > 0
 
 

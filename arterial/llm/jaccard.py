@@ -521,5 +521,7 @@ def drop_near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     ids = rows.select(F.col(own).alias("_own"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(own).alias("own")).alias("id"))
     first = ids.join(linked, F.col("_own") == linked["doc_id"]).groupBy("component_id").agg(F.min("id").alias("id"))
     stays = materialize(first.select(F.col("id.own").alias(own)), "rows-that-stay")
-    discard(linked)
-    return finished(rows.join(stays, own, "left_semi").select(*docs.columns), "kept-rows", rows, stays)
+    # texts are joined with the rows that go, of which there are fewer; numbers alone tell these from the others
+    gone = materialize(rows.select(own).join(stays, own, "left_anti"), "rows-that-go")
+    discard(linked, stays)
+    return finished(rows.join(gone, own, "left_anti").select(*docs.columns), "kept-rows", rows, gone)

@@ -2,8 +2,8 @@
 
 A word's ids do not depend on its neighbours: the pre-tokenizer gives a single
 space to the word after it, keeps a line feed between two words apart, and
-parts letters from the marks after them. So every worker keeps bounded memos of
-words. A word that they lack goes to the library's BPE model if it is plain
+parts letters from the marks after them. So a task keeps bounded memos of words,
+and forgets them at its end, as its worker goes on with other work. A word that they lack goes to the library's BPE model if it is plain
 letters, else to ``encode``, many joined by line feeds. A text with any other
 white space is encoded directly, as a whole. All ways give the ids of
 ``encode``.
@@ -22,7 +22,7 @@ import numpy as np
 VOCABULARY = "byte_bpe_50k.json"
 #: The id that ends each document.
 END_ID = 0
-#: Words that each of a worker's memos holds at most.
+#: Words that each of a task's memos holds at most.
 MEMO_WORDS = 700_000
 #: Missing words joined into one call of encode.
 JOINED = 2000
@@ -55,6 +55,10 @@ class Memo(dict):
         self.update(found if len(found) <= room else list(found.items())[: max(0, room)])
         self.fresh = found
 
+    def forget(self) -> None:
+        self.clear()
+        self.fresh = {}
+
 
 class Encoder:
     """Encodes texts into arrays of ids without special tokens or end id."""
@@ -138,6 +142,11 @@ class Encoder:
             fresh["\n" + word] = self.line_feed + ids
         return fresh
 
+    def forget(self) -> None:
+        """Empty the memos, which is what a task does at its end."""
+        for memo in (self.chunks, self.words, self.tails):
+            memo.forget()
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         # a chunk "\nword" begins a line; any other chunk follows one space

@@ -196,6 +196,7 @@ def write_shards(docs: DataFrame, path: str | None = None, vocabulary: str = VOC
                     yield closed()
                     ids, docs_in, starts, n = [], [], [], 0
                     shard += 1
+        enc.forget()
         if n:
             yield closed()
 

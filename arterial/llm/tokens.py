@@ -3,10 +3,10 @@
 A word's ids do not depend on its neighbours: the pre-tokenizer gives a single
 space to the word after it, keeps a line feed between two words apart, and
 parts letters from the marks after them. So a task keeps bounded memos of words,
-and forgets them at its end, as its worker goes on with other work. A word that they lack goes to the library's BPE model if it is plain
-letters, else to ``encode``, many joined by line feeds. A text with any other
-white space is encoded directly, as a whole. All ways give the ids of
-``encode``.
+and forgets them at its end, as its worker goes on with other work. A word that
+they lack goes to the library's BPE model if it is plain letters, else to
+``encode``, many joined by line feeds. A text with any other white space is
+encoded directly, as a whole. All ways give the ids of ``encode``.
 """
 
 from __future__ import annotations

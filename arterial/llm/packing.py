@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arterial.llm.common import finished, materialize, slices
-from arterial.llm.tokens import END_ID, VOCABULARY, encoder
+from arterial.llm.tokens import END_ID, SLICE_BYTES, VOCABULARY, encoder
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -43,10 +43,9 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocabulary), np.array([END_ID], dtype="<u4").tobytes()
-        for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        for batch in slices(batches, limit=SLICE_BYTES):
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(texts)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
                 ids += end
                 n = len(ids) // 4
                 begins = [0] if n <= capacity else [*([0] if n % capacity else []), *range(n % capacity, n, capacity)]

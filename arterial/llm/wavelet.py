@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arterial.llm.common import materialize, slices
-from arterial.llm.tokens import END_ID, VOCABULARY, encoder
+from arterial.llm.tokens import END_ID, SLICE_BYTES, VOCABULARY, encoder
 
 #: Ids of a shard, about: a shard ends with the document that reaches it.
 SHARD_TOKENS = 1_000_000
@@ -186,8 +186,8 @@ def write_shards(docs: DataFrame, path: str | None = None, vocabulary: str = VOC
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["part", "shard", "n_tokens", "doc_ids", "starts", "file"])
 
-        for batch in slices(batches):
-            for doc_id, own in zip(batch.column(0).to_pylist(), enc.encode([t or "" for t in batch.column(1).to_pylist()])):
+        for batch in slices(batches, limit=SLICE_BYTES):
+            for doc_id, own in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
                 ids += [own, end]
                 docs_in.append(doc_id)
                 starts.append(n)

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from arterial.llm import packing, wavelet
@@ -23,6 +24,13 @@ def test_encoder_equals_the_library():
             assert ids == plain_ids(text).tobytes(), text[:40]
 
 
+def test_encoder_takes_arrow_columns():
+    texts = [None, "", "a  b", "one two\nthree", None, "\n\n", "x" * 9000 + " y" * 300_000, "last"]
+    for column in (pa.array(texts), pa.array(["cut", *texts]).slice(1), pa.array(texts, pa.large_string())):
+        assert encoder().encode(column) == [plain_ids(t or "").tobytes() for t in texts]
+    assert encoder().encode([]) == []
+
+
 @pytest.mark.parametrize("n, top", [(0, 1), (1, 0), (5, 3), (3000, 50_000), (140_000, 9), (2000, 100_000)])
 def test_wavelet_matrix(n, top):
     ids = np.random.default_rng(n).integers(0, top + 1, n).astype(np.uint32)

@@ -16,6 +16,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,18 +47,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Memo(dict):
-    """A dict of at most ``limit`` entries; ``fresh`` has what did not fit."""
+    """Ids of words, of at most ``limit`` words; ``fresh`` has what did not fit.
+    A word whose ids depend on its neighbours has none here."""
 
     def __init__(self, limit: int):
         super().__init__()
         self.limit, self.fresh = limit, {}
 
-    def __missing__(self, key: str) -> bytes | None:
+    def __missing__(self, key: str) -> bytes:
         return self.fresh[key]
 
-    def learn(self, found: dict[str, bytes | None]) -> None:
+    def learn(self, found: dict[str, bytes]) -> None:
         room = self.limit - len(self)
-        self.update(found if len(found) <= room else list(found.items())[: max(0, room)])
+        self.update(found if len(found) <= room else islice(found.items(), max(0, room)))
         self.fresh = found
 
     def forget(self) -> None:
@@ -116,8 +118,8 @@ class Encoder:
                 found.update((w, self._ids(lead + w)) for w in some)
         return found
 
-    def _learn(self, missing: list[str]) -> dict[str, bytes | None]:
-        fresh: dict[str, bytes | None] = {}
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        fresh: dict[str, bytes] = {}
         new_words: dict[str, bytes] = {}
         after_space, line_start = [], []
         words, tails = self.words, self.tails
@@ -136,7 +138,7 @@ class Encoder:
             else:
                 word = c[1:] if c[:1] == "\n" else c
                 if word.split() != [word]:
-                    fresh[c] = None
+                    fresh[c] = b""
                 elif c is word:
                     after_space.append(c)
                 else:
@@ -167,8 +169,6 @@ class Encoder:
         self.chunks.learn(self._learn([c for c in distinct if c not in self.chunks]))
         # all ids of the distinct chunks, and where each chunk's begin
         known = list(map(self.chunks.__getitem__, distinct))
-        own = np.array([ids is None for ids in known], bool)  # without ids apart from its neighbours
-        known = [ids or b"" for ids in known]
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), "<u4")
         lead, out = len(self.line_feed) // 4, []
@@ -178,7 +178,7 @@ class Encoder:
             after = np.cumsum(counts)
             ids = flat[np.repeat(starts[some] - after + counts, counts) + np.arange(counts.sum())]
             places = np.concatenate([[0], after])[ends[first : last + 1] - ends[first]].tolist()
-            whole = np.logical_or.reduceat(own[some], ends[first:last] - ends[first]).tolist()
+            whole = np.logical_or.reduceat(counts == 0, ends[first:last] - ends[first]).tolist()
             for row, begin, end, alone in zip(range(first, last), places, places[1:], whole):
                 out.append(self._ids(column[row].as_py()) if alone else ids[begin + lead : end].tobytes())
         return out

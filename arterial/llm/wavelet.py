@@ -42,6 +42,17 @@ HEADER = struct.Struct("<8sQII")
 SHARD = "part int, shard int, n_tokens long, doc_ids array<long>, starts array<long>, file binary"
 
 
+def _parting(bit: np.ndarray, zeros: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, slice, slice]]:
+    """For spans of a plane: where in the span its zeros and its ones are, and
+    the runs of the next plane that they go to."""
+    zero, one = 0, zeros
+    for at in range(0, len(bit), 8 * BLOCK_BYTES):
+        span = slice(at, at + 8 * BLOCK_BYTES)
+        low, high = np.flatnonzero(~bit[span]), np.flatnonzero(bit[span])
+        yield span, low, high, slice(zero, zero + len(low)), slice(one, one + len(high))
+        zero, one = zero + len(low), one + len(high)
+
+
 class WaveletMatrix:
     """Reads a file made by ``build``."""
 
@@ -69,15 +80,17 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             bit = (x >> level) & 1 != 0
             plane = np.packbits(bit, bitorder="little").tobytes()
-            counts = np.add.reduceat(bit, np.arange(0, n, 8 * BLOCK_BYTES), dtype=np.int64) if n else np.zeros(0, np.int64)
+            counts = np.array([np.count_nonzero(bit[at : at + 8 * BLOCK_BYTES]) for at in range(0, n, 8 * BLOCK_BYTES)], np.int64)
             ones.append(np.cumsum(counts) - counts)
             for b in range(blocks):
                 out.append(press.compress(plane[b * BLOCK_BYTES : (b + 1) * BLOCK_BYTES]))
                 total += len(out[-1])
                 ends.append(total)
-            low = x[~bit]
-            zeros.append(len(low))
-            x = np.concatenate([low, x[bit]])
+            zeros.append(n - int(counts.sum()))
+            parted = np.empty_like(x)
+            for span, low, high, zero, one in _parting(bit, zeros[-1]):
+                parted[zero], parted[one] = x[span].take(low), x[span].take(high)
+            x = parted
         head = [HEADER.pack(MAGIC, n, bits, blocks), np.array(zeros, "<u8").tobytes(), np.array(ones, "<u8").tobytes(), np.array(ends, "<u8").tobytes()]
         return b"".join(head + out)
 
@@ -165,8 +178,9 @@ class WaveletMatrix:
             plane = [self._block(level, b, keep=False) for b in range(self.blocks)]
             bit = (np.concatenate(plane)[: self.n] if plane else np.zeros(0, np.uint8)).view(bool)
             up = np.empty_like(x)
-            up[~bit] = x[: int(self.zeros[level])]
-            up[bit] = x[int(self.zeros[level]) :] | x.dtype.type(1 << (self.bits - 1 - level))
+            mark = x.dtype.type(1 << (self.bits - 1 - level))
+            for span, low, high, zero, one in _parting(bit, int(self.zeros[level])):
+                up[span][low], up[span][high] = x[zero], x[one] | mark
             x = up
         return x
 

@@ -231,23 +231,29 @@ def recurring(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[
     return passages, some
 
 
+#: Second letters of words. The automaton looks through a node's children one by one.
+SECOND = 512
+
+
 class _Letters(dict):
-    """A letter of its own for each word that is asked for."""
+    """Two letters of its own for each word that is asked for. No first letter
+    is a second one, so an occurrence begins with a word."""
 
     def __missing__(self, word: bytes) -> str:
-        self[word] = letter = chr(len(self) + 1)
-        return letter
+        first, second = divmod(len(self), SECOND)
+        self[word] = letters = chr(1 + SECOND + first) + chr(1 + second)
+        return letters
 
 
 class _Known(dict):
-    """The same letters; one that no passage has for any other word."""
+    """The same letters; two that no passage has for any other word."""
 
     def __missing__(self, word: bytes) -> str:
-        return "\0"
+        return "\0\0"
 
 
 class Automaton:
-    """An Aho-Corasick automaton over words: a word is one letter to it."""
+    """An Aho-Corasick automaton over words: a word is two letters to it."""
 
     def __init__(self, passages: list[list[bytes]]):
         import ahocorasick
@@ -267,9 +273,10 @@ class Automaton:
         if self.any:
             found = list(self.machine.iter("".join(map(self.letters.__getitem__, words))))
             if found:
-                ends, sizes = np.array(found, np.int64).T
-                np.subtract.at(change, ends + 1, 1)
-                np.add.at(change, ends + 1 - sizes, 1)
+                last, sizes = np.array(found, np.int64).T
+                ends = last // 2 + 1
+                np.subtract.at(change, ends, 1)
+                np.add.at(change, ends - sizes, 1)
         return np.cumsum(change[:-1]) > 0
 
 

@@ -76,3 +76,17 @@ def test_segments_cover_all_windows():
     for t, a, b in zip(text.tolist(), lo.tolist(), hi.tolist()):
         per[t] += b - a + 1
     assert per == {i: n - 34 for i, n in enumerate(lengths) if n >= 35}
+
+
+def test_automaton_equals_a_plain_search():
+    rng = np.random.default_rng(5)
+    words = [b"w%d" % i for i in rng.integers(0, 3000, 6000)]
+    passages = [words[i : i + n] for i, n in zip(rng.integers(0, 5900, 400).tolist(), rng.integers(1, 60, 400).tolist())]
+    text = [w for i in rng.integers(0, 5900, 40).tolist() for w in [*words[i : i + 90], b"elsewhere"]]
+    want = np.zeros(len(text), bool)
+    for p in passages:
+        for at in range(len(text) - len(p) + 1):
+            if text[at : at + len(p)] == p:
+                want[at : at + len(p)] = True
+    assert len({w for p in passages for w in p}) > substring.SECOND and 0 < want.sum() < len(text)
+    assert (substring.Automaton(passages).covered(text) == want).all()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arterial.llm.common import discard, finished, materialize, numbered, slices
+from arterial.llm.common import bitmaps, discard, finished, in_bitmaps, materialize, numbered, slices
 
 #: Words of a window.
 WINDOW = 13
@@ -303,4 +303,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     index, merged, tables = _matches(rows, benchmark, window, F.col(own))
     bad = materialize(_judged(index, merged, share).filter("contaminated").select(F.col("row").alias(own)), "contaminated-rows")
     discard(*tables)
-    return finished(rows.join(bad, own, "left_anti").select(*docs.columns), "clean-rows", rows, bad)
+    bits = bitmaps(bad, own)
+    clean = in_bitmaps(rows, own, bits, inside=False) if bits else rows.join(bad, own, "left_anti")
+    return finished(clean.select(*docs.columns), "clean-rows", rows, bad, bits)

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arterial.llm.common import discard, finished, materialize, numbered, slices
+from arterial.llm.common import bitmaps, discard, finished, in_bitmaps, materialize, numbered, slices
 from arterial.llm.components import connected_components
 
 #: Bins of the table of shingle counts.
@@ -51,6 +51,9 @@ COUNT_PARTITIONS = 16
 #: Keys that one part holds, about.
 PART_KEYS = 2_000_000
 LEAST_PARTS = 64
+#: Highest bytes of a key that are written: so many tell the keys of a part
+#: apart but for a few, and keys that coincide add a candidate, no link.
+KEY_BYTES = 5
 #: Keys that a task gathers before it hands them on.
 HELD_KEYS = 1_000_000
 #: Members of a cluster, or of a pair of blocks, that one tree join takes, and
@@ -194,7 +197,7 @@ def _routed(docs: DataFrame, rule: Rule, frequent: np.ndarray, parts: int) -> Da
             order = np.lexsort((least, part))  # runs of one owner, which take no room compressed
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             key, least = key[order], least[order]
-            rows = [(p, key[b:e].tobytes(), press(least[b:e].tobytes())) for p, (b, e) in enumerate(zip(cuts, cuts[1:])) if e > b]
+            rows = [(p, _short(key[b:e]), press(least[b:e].tobytes())) for p, (b, e) in enumerate(zip(cuts, cuts[1:])) if e > b]
             rows.append((-1, edges[0].tobytes(), press(edges[1].tobytes())))
             p, k, i = zip(*rows)
             none = [None] * len(rows)
@@ -241,12 +244,22 @@ def hung(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key[first], owner[first], edges.T.copy()
 
 
+def _short(key: np.ndarray) -> bytes:
+    return key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEY_BYTES :].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel()
+
+
 def _edge_table(a: np.ndarray, b: np.ndarray) -> dict[str, pa.Array]:
     return {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}
 
 
 def _part_edges(group: pa.Table) -> pa.Table:
-    keys = [np.frombuffer(k, np.uint64) for k in group["keys"].to_pylist()]
+    keys = [_long(k) for k in group["keys"].to_pylist()]
     open_ = zstandard.ZstdDecompressor().decompress
     ids = [np.frombuffer(open_(i), np.int64) for i in group["ids"].to_pylist()]
     return pa.table(_edge_table(*hung(np.concatenate(keys), np.concatenate(ids))[2]))
@@ -469,13 +482,16 @@ def _linked(docs: DataFrame, rule: Rule, cluster: int, shingle_limit: int, every
         )
     )
     large = parted.join(around, ["component", "level"]).select("node", there.alias("t")).select("node", "t.task", "t.left", "t.right")
-    tasks = small.unionByName(large)
+    tasks = materialize(small.unionByName(large), "tasks")
     texts = docs.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "text")
+    # where bitmaps can tell them, only texts that have a task are shuffled
+    wanted = bitmaps(tasks, "node")
+    texts = in_bitmaps(texts, "doc_id", wanted) if wanted else texts
     # members grow with the documents: no size at which they would be broadcast
     rows = texts.join(tasks.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
     dealt = rows.repartition("task").sortWithinPartitions("task")
     links = materialize(_cluster_links(dealt, rule, every), "links")
-    discard(members, clusters, parted, held, around)
+    discard(members, clusters, parted, held, around, tasks, wanted)
     return known, sets, links
 
 
@@ -521,7 +537,9 @@ def drop_near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     ids = rows.select(F.col(own).alias("_own"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(own).alias("own")).alias("id"))
     first = ids.join(linked, F.col("_own") == linked["doc_id"]).groupBy("component_id").agg(F.min("id").alias("id"))
     stays = materialize(first.select(F.col("id.own").alias(own)), "rows-that-stay")
-    # texts are joined with the rows that go, of which there are fewer; numbers alone tell these from the others
+    # numbers alone tell the rows that go; their bitmaps are broadcast whatever Spark's threshold, so that no text is shuffled
     gone = materialize(rows.select(own).join(stays, own, "left_anti"), "rows-that-go")
     discard(linked, stays)
-    return finished(rows.join(gone, own, "left_anti").select(*docs.columns), "kept-rows", rows, gone)
+    bits = bitmaps(gone, own)
+    kept = in_bitmaps(rows, own, bits, inside=False) if bits else rows.join(gone, own, "left_anti")
+    return finished(kept.select(*docs.columns), "kept-rows", rows, gone, bits)

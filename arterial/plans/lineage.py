@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark deletes a query's shuffle files when it ends, and not only
+#: when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only
@@ -30,10 +34,15 @@ def _filesystem(spark: SparkSession, path: str):
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends in files
     that survive the loss of any executor. The files go when the JVM ends, or
-    before that by ``discard``."""
+    before that by ``discard``; what the write shuffled goes at its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arterial/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     fs, where = _filesystem(spark, path)
     fs.deleteOnExit(where)
     back = spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -10,6 +11,9 @@ from arterial.llm import jaccard
 from arterial.llm.components import connected_components
 from arterial.llm.jaccard import NO_ID, Rule
 
+from arterial.llm.common import bitmaps, in_bitmaps
+from arterial.plans.lineage import discard, materialize
+
 from .conftest import rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -159,3 +163,56 @@ def test_connected_components(spark):
             up[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: root(i) for i in up}
+
+
+def test_bitmaps_tell_numbers(spark):
+    ids = [None, 0, 1, 7, 8, -1, -9, 32_767, 32_768, 32_769, 1 << 33, (1 << 33) + 5, NO_ID, -NO_ID - 1]
+    rows = spark.createDataFrame([(i, "t") for i in [*ids, 2, 9, -8, (1 << 33) + 4]], "id long, bucket string")
+    bits = bitmaps(spark.createDataFrame([(i,) for i in ids], "id long"), "id")
+    assert {r.id for r in in_bitmaps(rows, "id", bits).collect()} == {*ids} - {None}
+    assert sorted(r.id or 0 for r in in_bitmaps(rows, "id", bits, inside=False).collect()) == [-8, 0, 2, 9, (1 << 33) + 4]
+    assert bitmaps(rows, "id", most=2) is None
+
+
+def test_short_keys():
+    key = np.array([0, 1 << 24, (1 << 64) - 1, 0x123456789ABCDEF0], np.uint64)
+    assert jaccard._long(jaccard._short(key)).tolist() == (key >> np.uint64(24)).tolist()
+
+
+def _shuffle_files(spark) -> int:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_a_written_table_leaves_no_shuffle_behind(spark):
+    mixed = spark.range(1_000).repartition(7, "id")
+    before = _shuffle_files(spark)
+    made = materialize(mixed, "mixed")
+    for _ in range(50):  # files go in the background
+        if _shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert _shuffle_files(spark) <= before
+    assert made.count() == 1_000
+    discard(made)
+
+
+def test_kept_rows_are_not_shuffled_beyond_the_broadcast_threshold(spark, docs, monkeypatch):
+    """At 6 GB the rows that go were more than Spark broadcasts by itself."""
+    plans, write = {}, jaccard.finished
+
+    def noted(df, label, *tables):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label, *tables)
+
+    monkeypatch.setattr(jaccard, "finished", noted)
+    rule = Rule(n=2, num=50, den=100)
+    with_threshold = sorted(map(str, jaccard.drop_near_duplicates(docs, rule).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        without = sorted(map(str, jaccard.drop_near_duplicates(docs, rule).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert without == with_threshold
+    assert "BroadcastHashJoin" in plans["kept-rows"] and "hashpartitioning" not in plans["kept-rows"]

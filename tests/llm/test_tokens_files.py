@@ -31,6 +31,30 @@ def test_encoder_takes_arrow_columns():
     assert encoder().encode([]) == []
 
 
+def test_distinct_words_go_to_the_model_together():
+    """One call a word made op7 miss its budget of CPU seconds."""
+
+    class Counted:
+        def __init__(self, speller):
+            self.speller, self.words = speller, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.words.append(sum(t.count("Ċ") + 1 for t in texts))
+            return self.speller.encode_batch_fast(texts, **options)
+
+    def word(i):
+        return "".join(chr(ord("a") + i // 26**k % 26) for k in range(4)) + "éß"[i % 2]
+
+    texts = [" ".join(word(i) + ",."[i % 2 :] for i in range(at, at + 5000)) for at in range(0, 30_000, 2500)]
+    for memo, calls in ((400_000, [20_000, 12_500]), (0, [20_000, 12_500] * 2)):
+        enc = Encoder("byte_bpe_50k.json", memo_words=memo)
+        enc.speller = Counted(enc.speller)
+        for _ in range(2):
+            assert enc.encode(texts) == [plain_ids(t).tobytes() for t in texts]
+        # 32,500 words after a space, and the first of each text without one
+        assert [n // 100 for n in enc.speller.words] == [n // 100 for n in calls]
+
+
 @pytest.mark.parametrize("n, top", [(0, 1), (1, 0), (5, 3), (3000, 50_000), (140_000, 9), (2000, 100_000)])
 def test_wavelet_matrix(n, top):
     ids = np.random.default_rng(n).integers(0, top + 1, n).astype(np.uint32)

@@ -10,9 +10,14 @@ their sets' Jaccard similarity reaches num / den, where shingles are told apart
    a key. Sizes are cut into classes; a set takes part in its own class and, if
    it can link upwards, in the next. Very frequent shingles (by counts of all
    documents, in a table of fixed size) are left out of the groups: that keeps
-   the guarantee and stops common passages from linking everything. Groups that
-   are empty count only for sets with so many of them that they may be needed.
+   the guarantee and stops common passages from linking everything. As linked
+   sets agree in several groups, a set leaves out one less than that, those
+   with the fewest shingles: by chance, unlike sets agree in such groups. The
+   fullest group in which two sets agree is left out by neither. Groups without
+   a rare shingle are not used; sets that would need them are dealt into groups
+   again with all their shingles, so one of these is what two such sets share.
    Of the sets that share a key, all hang on the smallest: no pairs are made.
+   Keys, and later the clusters' texts, are shuffled in several rounds.
 2. Clusters. Connected components of these edges hold every link. Equal sets
    (by a 128-bit digest) are one member.
 3. Signature trees. A cluster's members, by size, are leaves of a tree whose
@@ -56,6 +61,10 @@ LEAST_PARTS = 64
 KEY_BYTES = 5
 #: Keys that a task gathers before it hands them on.
 HELD_KEYS = 1_000_000
+#: How often a set without enough full groups is dealt anew by another hash.
+TURNS = 4
+#: Keys and texts are shuffled a part at a time: so many rounds each.
+ROUNDS = 4
 #: Members of a cluster, or of a pair of blocks, that one tree join takes, and
 #: their shingles: a task holds no more texts than have about so many words.
 CLUSTER, CLUSTER_SHINGLES = 2_000, 4_000_000
@@ -156,23 +165,36 @@ def routing_keys(s: np.ndarray, rule: Rule, starts: list[int], rare: np.ndarray)
     if rule.den * size >= rule.num * starts[own + 1]:
         classes.append(own + 1)
     out = []
-    left = s[rare]
-    strong = _mixed(left + _A)
+    strong = _mixed(s + _A)
     for c in classes:
         top = starts[c + 1] - 1 if c + 1 < len(starts) else rule._grown(starts[c])
         k, agreeing = rule.groups(top)
-        group = ((strong >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        full, first = np.unique(group[order], return_index=True)
-        content = np.add.reduceat(_mixed(strong[order]), first) if len(full) else strong[:0]
-        if k - len(full) >= agreeing:  # linked sets may agree in empty groups alone
-            sums = np.zeros(k, np.uint64)
-            sums[full] = content
-            full, content = np.arange(k), sums
-        out.append(_mixed(content + _mixed(full.astype(np.uint64) + np.uint64(c << 32) + _C)))
+        used = k - agreeing + 1
+        for turn in range(TURNS):
+            full, content = _fullest(_mixed(strong + np.uint64(turn)) if turn else strong[rare], k, used)
+            lacking = used - len(full)
+            if lacking and turn == TURNS - 1:  # two such sets may agree in empty groups alone
+                empty = np.setdiff1d(np.arange(k), full)[-lacking:]
+                full, content = np.append(full, empty), np.append(content, np.zeros(lacking, np.uint64))
+            out.append(_mixed(content + _mixed(full.astype(np.uint64) + np.uint64((turn << 56) + (c << 32)) + _C)))
+            if not lacking:
+                break
     return np.concatenate(out)
 
 
+def _fullest(strong: np.ndarray, k: int, used: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of k groups the numbers and contents of at most ``used`` that are not
+    empty: those with the most members, in an order that the content fixes."""
+    group = ((strong >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    full, first, size = np.unique(group[order], return_index=True, return_counts=True)
+    content = np.add.reduceat(_mixed(strong[order]), first) if len(full) else strong[:0]
+    if len(full) > used:
+        most = np.lexsort((full, content, size))[-used:]
+        full, content = full[most], content[most]
+    return full, content
+
+
 ROUTED = "doc_id long, n long, digest binary, part int, keys binary, ids binary"
 
 
@@ -446,9 +468,14 @@ def _linked(docs: DataFrame, rule: Rule, cluster: int, shingle_limit: int, every
     share = 2 * (rule.den - rule.num) / (rule.den + rule.num)
     parts = max(LEAST_PARTS, int(2 * share * total) // PART_KEYS)
     routed = materialize(_routed(docs, rule, frequent, parts), "routed")
-    edges = routed.filter("part >= 0").select("part", "keys", "ids").groupBy("part").applyInArrow(_part_edges, "a long, b long")
-    edges = edges.unionByName(routed.filter("part = -1").select("keys", "ids").mapInArrow(_task_edges, "a long, b long"))
+    edges = routed.filter("part = -1").select("keys", "ids").mapInArrow(_task_edges, "a long, b long")
+    by_round = []
+    for r in range(ROUNDS):
+        own = routed.filter(f"part >= 0 and part % {ROUNDS} = {r}").select("part", "keys", "ids")
+        by_round.append(materialize(own.groupBy("part").applyInArrow(_part_edges, "a long, b long").distinct(), "part-edges"))
+        edges = edges.unionByName(by_round[-1])
     clusters = materialize(connected_components(edges, "candidates"), "clusters")
+    discard(*by_round)
     known = materialize(routed.filter("part is null").select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "n", "digest"), "sets")
     discard(routed)
     # written, so that the join with the documents of a much copied set can be split
@@ -484,14 +511,21 @@ def _linked(docs: DataFrame, rule: Rule, cluster: int, shingle_limit: int, every
     large = parted.join(around, ["component", "level"]).select("node", there.alias("t")).select("node", "t.task", "t.left", "t.right")
     tasks = materialize(small.unionByName(large), "tasks")
     texts = docs.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "text")
-    # where bitmaps can tell them, only texts that have a task are shuffled
-    wanted = bitmaps(tasks, "node")
-    texts = in_bitmaps(texts, "doc_id", wanted) if wanted else texts
-    # members grow with the documents: no size at which they would be broadcast
-    rows = texts.join(tasks.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
-    dealt = rows.repartition("task").sortWithinPartitions("task")
-    links = materialize(_cluster_links(dealt, rule, every), "links")
-    discard(members, clusters, parted, held, around, tasks, wanted)
+    by_round = []
+    for r in range(ROUNDS):
+        own = tasks.filter(F.pmod(F.xxhash64("task"), F.lit(ROUNDS)) == r)
+        # where bitmaps can tell them, only texts that have a task are shuffled
+        wanted = bitmaps(own, "node")
+        some = in_bitmaps(texts, "doc_id", wanted) if wanted else texts
+        # members grow with the documents: no size at which they would be broadcast
+        rows = some.join(own.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
+        dealt = rows.repartition("task").sortWithinPartitions("task")
+        by_round.append(finished(_cluster_links(dealt, rule, every), "round-links", wanted))
+    links = by_round[0]
+    for more in by_round[1:]:
+        links = links.unionByName(more)
+    links = finished(links, "links", *by_round)
+    discard(members, clusters, parted, held, around, tasks)
     return known, sets, links
 
 

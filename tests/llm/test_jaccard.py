@@ -122,6 +122,31 @@ def test_linked_sets_share_a_key(rule):
     assert shared > 50
 
 
+@pytest.mark.parametrize("share", [0.5, 0.9, 1.0])
+def test_unlike_sets_share_hardly_a_key(share):
+    """Sets with few rare shingles hung together by the groups they had none in."""
+    rng = np.random.default_rng(4)
+    rule = Rule(5, 80, 100)
+    starts = rule.class_starts(1 << 34)
+    common = rng.integers(0, 1 << 63, 3).astype(np.uint64)
+    keys = []
+    for _ in range(300):
+        s = np.unique(np.append(rng.integers(0, 1 << 63, int(rng.integers(60, 140))).astype(np.uint64), common))
+        keys.append(np.unique(jaccard.routing_keys(s, rule, starts, (s % np.uint64(1000)).astype(float) >= share * 1000)))
+    keys = np.concatenate(keys)
+    assert len(keys) - len(np.unique(keys)) < len(keys) / 100
+
+
+def test_rounds(spark, docs, monkeypatch):
+    """Keys and texts are shuffled a part at a time, with the same links."""
+    labels, write = [], jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, label: labels.append(label) or write(df, label))
+    monkeypatch.setattr(jaccard, "ROUNDS", 3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(docs, Rule(), 6).collect()), key=str)
+    assert got == brute(rows_of(docs), Rule())
+    assert labels.count("part-edges") == 3
+
+
 def test_tree_join_finds_all_links():
     rng = random.Random(3)
     texts = near_copies(rng, 400)
